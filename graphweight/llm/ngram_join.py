@@ -142,7 +142,7 @@ def ngram_join(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: int =
     signatures = written(texts.mapInArrow(sign, "d long, node long, weight long, keys array<long>"))
     classes = written(signatures.where("weight > 0").groupBy("node").agg(F.min("d").alias("class_d"), F.count("*").alias("class_size"), F.min("weight").alias("weight"), F.min_by("keys", "d").alias("keys")))
     entries = classes.select("node", F.posexplode("keys").alias("tree", "key"))
-    heads = entries.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
+    heads = written(entries.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
     edges = entries.join(heads, ["tree", "key"]).where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     clusters = components(edges).withColumnRenamed("root", "cluster")
     members = clusters.join(classes.drop("keys"), "node").select("node", "cluster", "weight", "class_size", "class_d")

@@ -76,7 +76,7 @@ def removed_windows(texts: DataFrame, min_bytes: int, anchor: int) -> DataFrame:
     survivors = written(runs.repeated(runs.occurrences(texts, False, min_bytes, anchor)))
     classes = written(survivors.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "place")).alias("first")))
     settled = survivors.join(classes.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("d", "place")
-    mixed = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
+    mixed = written(classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1"))
     flag = F.when(F.col("n") > 1, SETTLED).otherwise(0) + F.when(F.col("k") > MOST_CLASSES, HOT).otherwise(0)
     firsts = classes.join(mixed, "a").select("first.d", F.struct("first.place", "a", flag.cast("long").alias("flag")).alias("place"))
 
@@ -127,7 +127,7 @@ def removed_windows(texts: DataFrame, min_bytes: int, anchor: int) -> DataFrame:
     hot = F.col("flag").bitwiseAND(HOT) > 0
     cold = contents.where(~hot).repartition(F.col("a")).mapInArrow(indexed, "d long, place long")
     windows = contents.where(hot).mapInArrow(single, "w long, d long, place long")
-    often = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    often = written(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
     return settled.unionByName(cold).unionByName(windows.join(often, "w").select("d", "place"))
 
 
