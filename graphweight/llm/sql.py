@@ -2,7 +2,7 @@
 
 OP1 = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
 ), windows AS (
   SELECT doc_id, i, w[i:i + 19] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
 ), later AS (
@@ -11,7 +11,7 @@ WITH words AS (
   SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later) GROUP BY doc_id
 ), kept AS (
   SELECT words.doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
-    list_filter(list_transform(w, (x, p) -> CASE WHEN list_contains(coalesce(g, []), p) THEN '' ELSE x END), x -> x <> '') AS k
+    list_filter(list_transform(w, lambda x, p: CASE WHEN list_contains(coalesce(g, []), p) THEN '' ELSE x END), lambda x: x <> '') AS k
   FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept

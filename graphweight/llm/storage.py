@@ -1,45 +1,7 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, and the stand-in for a null id."""
 
-from __future__ import annotations
+from graphweight.storage import shared_folder, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["NULL_ID", "shared_folder", "written"]
 
 NULL_ID = -(1 << 63)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: spark.checkpoint.dir if it names one, else (tests on one machine) a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="graphweight-")
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and read back from a compressed table in the shared folder.
-
-    It cuts the lineage; lost executors do not lose it. The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone already
-        pass
