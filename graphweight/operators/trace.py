@@ -79,7 +79,8 @@ class Trace:
         found = tree(self.graph.edges.where(followed(False)), self.entry)
         own = self.graph.nodes.where("package is not null").select(F.col("path").alias("node"), F.col("package").alias("name"))
         first = found.join(own, "node").join(packages.select("name"), "name", "left_semi").groupBy("name").agg(F.min_by("chain", F.struct("depth", "order")).alias("chain"))
-        return packages.join(first, "name", "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+        out = packages.join(first, "name", "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+        return out.orderBy(F.desc("total_size_bytes"), "name")
 
     def modules_by_cost(self, weights: DataFrame, include_dynamic: bool = False, top: int = -1) -> DataFrame:
         """path, exclusive_size_bytes of first-party modules other than the entry, heaviest first; of all modules if none is first-party.
