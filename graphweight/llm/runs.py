@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import NULL_ID
+from .storage import NULL_ID, written
 from .textscan import Digests, byte_digests, flat, pieces, signed, window_runs, word_hashes, word_spans
 
 #: place = first window << 32 | number of windows << 24 | 24 bits of the text's digest. It orders by the start,
@@ -75,8 +75,12 @@ def occurrences(docs: DataFrame, words: bool, width: int, anchor: int) -> DataFr
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """The occurrences whose anchor occurs more than once."""
-    often = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    """The occurrences whose anchor occurs more than once.
+
+    The frequent anchors are a table of their own, so that both sides of the join are plain exchanges and the
+    rows of a hot anchor can be split over tasks.
+    """
+    often = written(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     return found.join(often, "a")
 
 

@@ -32,7 +32,7 @@ def removed_windows(texts: DataFrame, min_words: int) -> DataFrame:
     survivors = written(runs.repeated(runs.occurrences(texts, True, min_words, min_words // 4)))
     classes = survivors.groupBy("a", "c").agg(F.min(F.struct("d", "place")).alias("first"))
     classes = written(classes)
-    mixed = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    mixed = written(classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"))
     settled = survivors.join(classes, ["a", "c"]).where("d > first.d or (d = first.d and place > first.place)").select("d", "place")
     firsts = classes.join(mixed, "a").select("first.d", "first.place")
 
@@ -47,7 +47,7 @@ def removed_windows(texts: DataFrame, min_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(piece.letters.of(begin, begin + min_words))), pa.array(ids[rows][own]), pa.array(runs.place(at, np.ones_like(at), piece.variant[own]))], names=["w", "d", "place"])
 
     windows = written(runs.with_lists(texts, firsts, "inner").mapInArrow(single, "w long, d long, place long"))
-    again = windows.groupBy("w").agg(F.min(F.struct("d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = written(windows.groupBy("w").agg(F.min(F.struct("d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = windows.join(again, "w").where("d > first.d or (d = first.d and place > first.place)").select("d", "place")
     return settled.unionByName(later)
 
