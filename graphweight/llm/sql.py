@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries it can express."""
 
+from . import quality as Q
+
 OP1 = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
@@ -18,3 +20,53 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha
 """
 
 ORACLES = {"op1_substring_dedup": OP1}
+
+
+def _quality() -> str:
+    """The counts, the references as mean shares of each language's documents, and the distances bin by bin."""
+    words = ", ".join("'" + w + "'" for w in Q.WORDS)
+    langs = ", ".join("'" + x + "'" for x in sorted(Q.COMMON))
+    count = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    n = len(Q.CLASSES)
+    return rf"""
+WITH a AS (
+  SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, w[i:i + {Q.WINDOW - 1}] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {Q.WINDOW - 2})) AS i FROM a WHERE len(w) >= {Q.WINDOW})
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {Q.WINDOW})) AS p FROM twice) GROUP BY doc_id
+), b AS (
+  SELECT a.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n, {count(Q.SYMBOLS)} AS n_symbols,
+    len(lines) - list_unique(lines) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+    {count('[A-Z]')} AS up, {count('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} AS wide, {count('[0-9]')} AS digit, {count("[.,;:!?''" + '"()' + chr(92) + '-]')} AS mark,
+    {count('[@_/' + chr(92) * 2 + '+=~^`{}' + chr(92) + '[' + chr(92) + ']' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0E-' + chr(92) + 'x1F' + chr(92) + 'x7F]')} AS rest,
+    list_transform(w, lambda x: lower(x)) AS lw
+  FROM a LEFT JOIN again ON a.doc_id = again.doc_id
+), c AS (
+  SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MOST_REPEATED} * n_words AS base_failed,
+    [up, n - (up + wide + digit + mark + n_symbols + rest + n - word_chars), wide, digit, mark, n_symbols, rest, n - word_chars] AS chars,
+    list_transform([{words}], lambda k: len(list_filter(lw, lambda x: x = k))) AS known
+  FROM b
+), bins AS (
+  SELECT doc_id, lang, base_failed, n_words, i, CASE WHEN i <= {n} THEN chars[i] / greatest(n, 1)::DOUBLE WHEN i <= {n + len(Q.WORDS)} THEN known[i - {n}] / greatest(n_words, 1)::DOUBLE
+    ELSE (n_words - list_sum(known)) / greatest(n_words, 1)::DOUBLE END AS p
+  FROM (SELECT *, unnest(range(1, {n + len(Q.WORDS) + 2})) AS i FROM c)
+), refs AS (
+  SELECT lang AS ref, i, avg(p) AS q FROM bins WHERE lang IN ({langs}) AND NOT base_failed AND n_words >= {Q.MIN_COMMON_OF_WORDS} GROUP BY lang, i
+), far AS (
+  SELECT doc_id, ref, i <= {n} AS is_chars, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d
+  FROM bins JOIN refs USING (i) WHERE lang = ref OR lang IS NULL OR lang NOT IN (SELECT ref FROM refs) GROUP BY doc_id, ref, is_chars
+), least AS (
+  SELECT doc_id, min(d) FILTER (is_chars) AS cd, min(d) FILTER (NOT is_chars) AS wd FROM far GROUP BY doc_id
+)
+SELECT c.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (word_chars >= {Q.MIN_CHARS} AND coalesce(cd, 0) > {Q.MOST_CHAR_DISTANCE}) AND NOT (n_words >= {Q.MIN_COMMON_OF_WORDS} AND coalesce(wd, 0) > {Q.MOST_WORD_DISTANCE}) AS kept
+FROM c LEFT JOIN least ON c.doc_id = least.doc_id
+"""
+
+
+ORACLES["op5_quality"] = _quality()
