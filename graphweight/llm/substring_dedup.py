@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .storage import written
-from .textscan import covered, signed
+from .textscan import anchor_places, covered, signed
 
 OUT = "d long, n_words long, n_removed long, kept_sha256 string"
 
@@ -20,33 +20,51 @@ OUT = "d long, n_words long, n_removed long, kept_sha256 string"
 def removed_windows(texts: DataFrame, min_words: int) -> DataFrame:
     """(d, place): the windows, or runs of windows, whose words also start earlier.
 
-    Level-wise doubling. The first level looks at windows of a quarter of the length (5 words for 20), sampled so
-    that each full window holds a sample that its words alone determine; what occurs once is dropped. Survivors
-    are extended to what their full windows cover (the next doublings at once): where that whole stretch occurs
-    alike elsewhere, it is settled for all its windows but those of its earliest place. Only the earliest places
-    of stretches that agree in part go on to the last level, single windows of full length. No candidate is
-    left after it.
+    Level-wise doubling, for 20 words: 5, 10, 20. The first level takes 5-word strings, one for each 20-word window
+    (the one of least digest, which the window's words alone determine); windows that share it stand in runs. What
+    occurs once is dropped. Runs that cover the same words throughout are settled at once, all but the earliest.
+    Only the earliest runs of each such class, where a 5-word string has several, are extended: to 10 words (to
+    the right where the window has them, else to the left); what occurs once at that length is dropped; and the
+    rest to the full 20. No candidate is left after it.
     """
     if min_words < 4 or min_words % 4 or min_words > 252:
         raise ValueError("min_words must be a multiple of 4, at most 252")
-    survivors = written(runs.repeated(runs.occurrences(texts, True, min_words, min_words // 4)))
+    quarter, half = min_words // 4, min_words // 2
+    survivors = written(runs.repeated(runs.occurrences(texts, True, min_words, quarter)))
     classes = survivors.groupBy("a", "c").agg(F.min(F.struct("d", "place")).alias("first"))
     classes = written(classes)
     mixed = written(classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"))
     settled = survivors.join(classes, ["a", "c"]).where("d > first.d or (d = first.d and place > first.place)").select("d", "place")
     firsts = classes.join(mixed, "a").select("first.d", "first.place")
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("d").to_numpy(zero_copy_only=False)
             for rows, piece, doc, start, count in runs.marked(batch, True):
-                if len(doc):
-                    run, at = runs.spread(doc, start, count)
-                    own = doc[run]
-                    begin = piece.bounds[own] + at
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(piece.letters.of(begin, begin + min_words))), pa.array(ids[rows][own]), pa.array(runs.place(at, np.ones_like(at), piece.variant[own]))], names=["w", "d", "place"])
+                begin = piece.bounds[doc] + start
+                anchor = anchor_places(piece.letters, begin, min_words, quarter)
+                left = np.clip(anchor - half - begin, 0, count)  # windows that end before the anchor's right half does
+                raw = piece.data.tobytes()
+                for skip, n, x, side in ((0, left, anchor + quarter - half, 0), (left, count - left, anchor, 1)):
+                    some = np.flatnonzero(n > 0)
+                    at, n, own = (begin + skip)[some], n[some], doc[some]
+                    key = piece.letters.of(x[some], x[some] + half) ^ np.uint64(side)
+                    spots = runs.place((start + skip)[some], n, piece.variant[own])
+                    spans = zip(piece.starts[at].tolist(), piece.stops[at + n + min_words - 2].tolist(), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[rows][own]), pa.array(spots), pa.array([raw[b:e] for b, e in spans], pa.binary())], names=["a", "d", "place", "text"])
 
-    windows = written(runs.with_lists(texts, firsts, "inner").mapInArrow(single, "w long, d long, place long"))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("d", "place"))
+            for rows, piece in runs.scan(batch, True):
+                spots = places[rows]
+                run, at = runs.spread(np.arange(len(spots)), np.zeros_like(spots), spots >> runs.COUNT & 255)
+                begin, spots = piece.bounds[run] + at, spots[run]
+                where = runs.place((spots >> runs.START) + at, np.ones_like(at), spots & runs.VARIANT)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(piece.letters.of(begin, begin + min_words))), pa.array(ids[rows][run]), pa.array(where)], names=["w", "d", "place"])
+
+    halves = written(runs.with_lists(texts, firsts, "inner").mapInArrow(doubled, "a long, d long, place long, text binary"))
+    windows = written(runs.repeated(halves).mapInArrow(single, "w long, d long, place long"))
     again = written(windows.groupBy("w").agg(F.min(F.struct("d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = windows.join(again, "w").where("d > first.d or (d = first.d and place > first.place)").select("d", "place")
     return settled.unionByName(later)

@@ -147,6 +147,14 @@ def window_runs(letters: Digests, ends: np.ndarray, width: int, anchor: int) ->
     return first, count, grams[anchors], cover
 
 
+def anchor_places(letters: Digests, begin: np.ndarray, width: int, anchor: int) -> np.ndarray:
+    """Where the anchor (see window_runs) of the windows that start at `begin` starts."""
+    if not len(begin):
+        return begin
+    grams = (letters.windows(anchor) >> _U(32)).astype(np.uint32)
+    return begin + grams[begin[:, None] + np.arange(width - anchor + 1)].argmin(axis=1)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Mask of the positions below n that the spans cover."""
     steps = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(ends, n), minlength=n + 1)[: n + 1]

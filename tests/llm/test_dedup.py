@@ -66,6 +66,22 @@ def test_substring_dedup(spark):
     assert sum(r["n_removed"] for r in got) > 100
 
 
+@pytest.mark.parametrize("min_words", [20, 8])
+def test_substring_dedup_of_overlapping_passages(spark, min_words):
+    """Parts of one long text, of lengths around those of the levels and joined in any order, so that strings of 5 and 10 words repeat where 20 do not."""
+    rng = random.Random(min_words)
+    base = ["v%d" % (i if rng.random() < 0.9 else i % 7) for i in range(300)]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            at, size = rng.randrange(280), rng.choice([3, 5, 8, 9, 10, 11, 15, 19, 20, 21, 25, 60])
+            parts += base[at : at + size] + (["z%d" % rng.randrange(9999)] if rng.random() < 0.4 else [])
+        rows.append((i, " ".join(parts)))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(table(spark, rows), min_words).collect()}
+    assert got == brute_words(rows, min_words)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup(table(spark, [(1, "a b")]).limit(0)).isEmpty()
 
