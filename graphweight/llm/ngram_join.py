@@ -17,7 +17,8 @@ from .storage import NULL_ID, written
 from .textscan import mix, signed
 
 NGRAM, SIMILARITY = 5, Fraction(4, 5)
-TREES, MAX_DEPTH, TARGET_RECALL = 20, 8, 0.999999
+#: More trees allow longer prefixes (20: depth 3, 40: depth 5), so that fewer pairs far below the threshold meet and clusters of candidates stay small.
+TREES, MAX_DEPTH, TARGET_RECALL = 40, 8, 0.999999
 #: Shingles of a chunk of a tile.
 BUDGET = 1 << 19
 #: Cells of a dense block of shingle counts.
