@@ -146,7 +146,7 @@ def ngram_join(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: int =
     heads = written(entries.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"))
     edges = entries.join(heads, ["tree", "key"]).where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     clusters = components(edges).withColumnRenamed("root", "cluster")
-    members = clusters.join(classes.drop("keys"), "node").select("node", "cluster", "weight", "class_size", "class_d")
+    members = tiles.chunked(clusters.join(classes.drop("keys"), "node").select("node", "cluster", "weight", "class_size", "class_d"), budget)
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +154,11 @@ def ngram_join(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: int =
             for rows, piece in scan(batch, True):
                 sets = shingle_sets(piece)
                 own = np.flatnonzero(signed(np.array([set_digest(s) for s in sets], np.uint64)) == node[rows])  # not another text of that doc_id
-                columns = [batch.column(c)[rows].take(pa.array(own)) for c in ("node", "cluster", "weight", "class_size")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "cluster", "weight", "class_size", "shingles"])
+                columns = [batch.column(c)[rows].take(pa.array(own)) for c in ("node", "cluster", "q", "class_size")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "cluster", "q", "class_size", "shingles"])
 
-    rows = texts.join(members, texts["d"] == members["class_d"]).select("node", "cluster", "weight", "class_size", "text")
-    rows = rows.mapInArrow(as_sets, "node long, cluster long, weight long, class_size long, shingles binary")
+    rows = texts.join(members, texts["d"] == members["class_d"]).select("node", "cluster", "q", "class_size", "text")
+    rows = rows.mapInArrow(as_sets, "node long, cluster long, q int, class_size long, shingles binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,12 +174,12 @@ def ngram_join(docs: DataFrame, similarity: Fraction = SIMILARITY, trees: int =
 
         yield from tiles.result(each())
 
-    found = written(tiles.grouped(tiles.dealt(rows, budget)).mapInArrow(compare, tiles.RESULT))
+    found = written(tiles.grouped(tiles.dealt(rows)).mapInArrow(compare, tiles.RESULT))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
-    least = groups.join(classes.select("node", "class_d"), "node").groupBy("root").agg(F.min("class_d").alias("component_d"))
+    groups = written(components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))))
+    least = written(groups.join(classes.select("node", "class_d"), "node").groupBy("root").agg(F.min("class_d").alias("component_d")))
     named = groups.join(least, "root").select("node", "component_d")
-    about = classes.drop("keys", "weight").join(links, "node", "left").join(named, "node", "left")
+    about = written(classes.drop("keys", "weight").join(links, "node", "left").join(named, "node", "left"))  # so that the rows of a hot class can be split
     out = signatures.select("d", F.when(F.col("weight") > 0, F.col("node")).alias("node")).join(about, "node", "left")
     class_d = F.coalesce("class_d", "d")
     component = F.coalesce("component_d", class_d)

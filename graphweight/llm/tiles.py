@@ -9,19 +9,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Rows of a block of a comparison.
 BLOCK = 1024
 
 
-def dealt(members: DataFrame, budget: int) -> DataFrame:
-    """members(node, cluster, weight, ...) with a row for each tile that each member takes part in: also tile_i, tile_j, side.
+def chunked(members: DataFrame, budget: int) -> DataFrame:
+    """members(node, cluster, weight) with q: the chunks that the member's cluster is cut into.
+
+    A cluster of total weight up to `budget` is one chunk. A larger one has as many as it needs. The clusters' table
+    is written, so that both sides of the join are plain exchanges and a large cluster's members spread over tasks;
+    what is compared comes in later, by node.
+    """
+    members = written(members)
+    chunks = written(members.groupBy("cluster").agg(F.ceil(F.sum("weight") / budget).cast("int").alias("q")))
+    return members.join(chunks, "cluster")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows(node, cluster, q, ...) with a row for each tile that each member takes part in: tile_i, tile_j, side in place of q.
 
-    A cluster of total weight up to `budget` is one tile. A larger one is cut by a hash of the node into as many
-    chunks as it needs, and each pair of chunks is a tile: a chunk's rows go to as many tiles as there are chunks.
+    A hash of the node names the member's chunk, and each pair of chunks is a tile: a chunk's rows go to as many
+    tiles as there are chunks.
     """
-    chunks = members.groupBy("cluster").agg(F.ceil(F.sum("weight") / budget).cast("int").alias("q"))
     own = F.pmod(F.xxhash64("node"), F.col("q")).cast("int")
-    rows = members.join(chunks, "cluster").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     return rows.select("*", F.least("_own", "_other").alias("tile_i"), F.greatest("_own", "_other").alias("tile_j"), (F.col("_own") > F.col("_other")).cast("int").alias("side")).drop("_own", "_other", "q")
 
 

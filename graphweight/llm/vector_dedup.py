@@ -212,7 +212,8 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
     entries = classes.select("x", "node").mapInArrow(index, OUT)
     met = entries.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
     clusters = components(met).withColumnRenamed("root", "cluster")
-    members = clusters.join(classes, "node").select("node", "cluster", F.size("x").cast("long").alias("weight"), "class_size", "x")
+    members = tiles.chunked(clusters.join(classes.select("node", F.size("x").cast("long").alias("weight")), "node"), budget)
+    members = members.join(classes, "node").select("node", "cluster", "q", "class_size", "x")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,7 +227,7 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
 
         yield from tiles.result(each())
 
-    found = written(tiles.grouped(tiles.dealt(members, budget)).mapInArrow(rerank, tiles.RESULT))
+    found = written(tiles.grouped(tiles.dealt(members)).mapInArrow(rerank, tiles.RESULT))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
     least = groups.join(classes.select("node", "class_d"), "node").groupBy("root").agg(F.min("class_d").alias("component_d"))
