@@ -229,10 +229,10 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
 
     found = written(tiles.grouped(tiles.dealt(members)).mapInArrow(rerank, tiles.RESULT))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
-    least = groups.join(classes.select("node", "class_d"), "node").groupBy("root").agg(F.min("class_d").alias("component_d"))
+    groups = written(components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))))
+    least = written(groups.join(classes.select("node", "class_d"), "node").groupBy("root").agg(F.min("class_d").alias("component_d")))
     named = groups.join(least, "root").select("node", "component_d")
-    about = classes.drop("x").join(links, "node", "left").join(named, "node", "left")
+    about = written(classes.drop("x").join(links, "node", "left").join(named, "node", "left"))  # so that the rows of a hot class can be split
     out = rows.select("d", F.when(F.col("x").isNotNull(), node).alias("node")).join(about, "node", "left")
     component = F.coalesce("component_d", "class_d", "d")
     plain = lambda c: F.nullif(c, F.lit(NULL_ID))
