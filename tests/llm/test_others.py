@@ -106,6 +106,22 @@ def test_quality(spark):
     assert quality.quality(docs(spark, rows).limit(0)).isEmpty()
 
 
+def test_quality_of_other_languages(spark):
+    rng = random.Random(6)
+    polish = "nie się jest że to na do jak ale czy tak był dla po od przez oraz które miasto dom człowiek rzeka ogród droga".split()
+    greek = TEXTS["el"].split()
+    text = {"pl": polish, "el": greek, "en": TEXTS["en"].split()}
+    clean = [(100 * k + i, " ".join(rng.choices(w, k=200)), lang, "s", 1) for k, (lang, w) in enumerate(text.items()) for i in range(20)]
+    junk = [(300, "### $$$ %%% " * 9 + " ".join(f"X{i}#Y" for i in range(200)), "pl", "s", 1), (301, " ".join(f"{i}#{i}$" for i in range(300)), None, "s", 1)]
+    alone = [(302, " ".join(rng.choices("это дом и река в городе не был для нас".split(), k=200)), None, "s", 1), (303, " ".join(f"слово{i}" for i in range(70)), "ru", "s", 1)]
+    rows = docs(spark, clean + junk + alone)
+    want = {r[0] for r in clean + alone}
+    assert {r["doc_id"] for r in quality.quality(rows).where("kept").collect()} == want
+    assert {r["doc_id"] for r in quality.good_documents(rows).collect()} == want
+    learned = {r["lang"]: r["_own"] for r in quality.learned_words(rows).collect()}
+    assert set(learned) == {"pl", "el"} and set(learned["el"]) == set(greek) and len(learned["pl"]) == quality.MOST_COMMON
+
+
 def test_packing(spark):
     rows = labelled(12) + odd() + [(960, "long text " * 3000, "en", "s", 1)]
     got = pack(docs(spark, rows), with_ids=True).collect()
