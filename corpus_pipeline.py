@@ -13,7 +13,7 @@ from graphweight.llm.mixing import mixed_documents
 from graphweight.llm.ngram_join import ngram_join
 from graphweight.llm.packing import pack
 from graphweight.llm.quality import good_documents
-from graphweight.llm.storage import NULL_ID, written
+from graphweight.llm.storage import written
 from graphweight.llm.substring_dedup import substring_dedup
 
 
@@ -22,20 +22,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return good_documents(docs)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with _key: one number for each pair of doc_id and text, rising with doc_id (null first). That is doc_id itself where none is null or repeats."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    digest = F.struct(F.col("text").isNull().alias("no"), F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+    rows = docs.withColumn("_digest", digest)
+    ids = rows.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).distinct().orderBy(F.asc_nulls_first("_id"), "_of")
+    ids = written(ids.withColumn("_key", F.monotonically_increasing_id()))
+    return written(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))).drop("_digest", "_id", "_of"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of least doc_id; rows that repeat its doc_id go too. Texts without words stay."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    kept = ngram_join(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kept")).distinct()
-    out = docs.withColumn("_key", key).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    """One row of each group of near copies stays, one of least doc_id; so does one of rows that repeat doc_id and text.
+
+    Rows with a null doc_id or that of another row, but another text, are judged each by its own text. Texts without words stay.
+    """
+    rows = with_key(docs)
+    kept = ngram_join(rows.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    out = rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
     return out.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document has are cut out; documents that lose all their words go. n_chars is that of the text left."""
-    cut = substring_dedup(docs, with_text=True).where("n_removed < n_words or n_words = 0")
-    cut = cut.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key"), F.col("kept_text").alias("_text")).dropDuplicates(["_key"])
+    """Words of passages that an earlier document has are cut out; documents that lose all their words go. n_chars is that of the text left.
+
+    Rows with a null doc_id or that of another row, but another text, are documents of their own.
+    """
+    rows = with_key(docs)
+    cut = substring_dedup(rows.select(F.col("_key").alias("doc_id"), "text"), with_text=True).where("n_removed < n_words or n_words = 0")
+    cut = cut.select(F.col("doc_id").alias("_cut"), F.col("kept_text").alias("_text")).dropDuplicates(["_cut"])
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    both = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_own"), *rest).join(cut, F.col("_own") == F.col("_key"))
+    both = rows.select(F.col("_key").alias("_own"), *rest).join(cut, F.col("_own") == F.col("_cut"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 

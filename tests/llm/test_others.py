@@ -203,3 +203,20 @@ def test_pipeline(spark, tmp_path):
     for name, stage in P.STAGES[:-1]:
         staged = stage(spark, staged, str(tmp_path))
         assert staged.columns == [x.split()[0] for x in SHAPE.split(", ")], name
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    text = [" ".join(f"word{rng.randrange(9000)}" for _ in range(60)) for _ in range(7)]
+    near = " ".join([*text[0].split()[:-1], "end"])
+    rows = [(None, text[1]), (None, text[2]), (3, text[0]), (5, near), (5, text[3]), (5, text[3]), (6, text[4]), (6, text[5])]
+    table = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    got = collections.Counter((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, table, str(tmp_path)).collect())
+    assert got == collections.Counter({r for r in rows if r[1] != near})
+    tail = " ".join(f"tail{i}" for i in range(30))
+    rows = [(None, text[1]), (None, text[2]), (3, tail), (5, f"{text[3]} {tail}"), (5, text[4]), (6, tail), (6, text[5])]
+    table = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    got = sorted(((r["doc_id"], r["text"].strip(), r["n_chars"] == len(r["text"])) for r in P.repeated_passages(spark, table, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, text[1], True), (None, text[2], True), (3, tail, True), (5, text[3], True), (5, text[4], True), (6, text[5], True)], key=str)
