@@ -147,6 +147,18 @@ def test_packing(spark):
     assert binary_pieces(5000, 2048) == [2048, 2048, 512, 256, 128, 8] and encoder("byte_bpe_50k.json")("") == []
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+    from graphweight.llm.packing import named_path
+
+    plain = Tokenizer.from_file(named_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "é<|endoftext|", "no token"]
+    got = collections.defaultdict(list)
+    for r in sorted(pack(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), with_ids=True).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+    assert [got[i] for i in range(4)] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts] and 50256 in got[0]
+
+
 def test_license_alignment():
     assert license_scan.rising([3, 1, 2, 9, 4]) == [1, 2, 4]
     assert license_scan.align([1, 2, 3, 9, 5], [1, 2, 3, 4, 5]) == [(0, 0), (1, 1), (2, 2), (4, 4)]
