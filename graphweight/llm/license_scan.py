@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -94,30 +94,31 @@ class Scanner:
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
 
     def passages(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(template, first word, end, words aligned) of all passages of a document, those of a template apart from each other."""
+        """(template, first word, end, words aligned) of every open window of a document that aligns well enough. They overlap: a window may start before the notice and end inside it."""
         for k, template in enumerate(self.words):
             at = np.flatnonzero(np.isin(text, template))
             need, length = int(np.ceil(SEED_SHARE * len(template))), len(template) + max(2, int(SLACK * len(template)))
             if not need or len(at) < need:
                 continue
             open_ = at[np.searchsorted(at, at + length) - np.arange(len(at)) >= need]
-            cursor, wanted = 0, template.tolist()
+            wanted, last = template.tolist(), None
             for s in open_.tolist():
-                if s < cursor:
-                    continue
                 pairs = align(text[s : s + length].tolist(), wanted)
                 if len(pairs) >= self.min_coverage * len(template):
-                    cursor = s + pairs[-1][0] + 1
-                    yield k, s + pairs[0][0], cursor, len(pairs)
+                    found = k, s + pairs[0][0], s + pairs[-1][0] + 1, len(pairs)
+                    if found != last:
+                        yield found
+                    last = found
 
     def scan(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Passages that do not overlap: of overlapping ones that with more aligned words, then that of higher coverage, stays."""
-        found = sorted(self.passages(text), key=lambda m: (-m[3], -m[3] / len(self.words[m[0]]), m[1], m[0]))
+        """Passages that do not overlap: of overlapping ones that with more aligned words, then that of higher coverage, then the shortest, stays."""
+        found = sorted(self.passages(text), key=lambda m: (-m[3], -m[3] / len(self.words[m[0]]), m[2] - m[1], m[1], m[0]))
         kept: list[tuple[int, int, int, int]] = []
         for m in found:
-            if all(m[2] <= x[1] or x[2] <= m[1] for x in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m[1])
+            i = bisect_left(kept, m[1], key=lambda x: x[1])  # what is kept does not overlap, so only its neighbours can
+            if (i == 0 or kept[i - 1][2] <= m[1]) and (i == len(kept) or m[2] <= kept[i][1]):
+                insort(kept, m, key=lambda x: x[1])
+        return kept
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:

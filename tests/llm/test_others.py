@@ -174,6 +174,12 @@ def test_license_scan(spark):
     assert got[0][3] == 1.0 and 0.95 < got[2][3] < 1
 
 
+def test_license_scan_starts_at_the_notice(spark):
+    texts = ["photo by Jane Doe. Licensed under CC BY-NC 4.0.", "photo by Jane Doe. Licensed under CC BY 4.0.", "Licensed under CC BY-NC version 4.0. Licensed under CC BY-NC 4.0."]
+    got = [tuple(r) for r in license_scan.license_scan(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).select("doc_id", "license", "start_word", "end_word", "coverage").orderBy("doc_id", "start_word").collect()]
+    assert got == [(0, "CC-BY-NC-4.0", 4, 11, 1.0), (1, "CC-BY-4.0", 4, 10, 1.0), (2, "CC-BY-NC-4.0", 0, 8, 1.0), (2, "CC-BY-NC-4.0", 8, 15, 1.0)]
+
+
 @pytest.mark.parametrize("budget", [1 << 21, 2000])
 def test_vectors(spark, budget):
     rng = np.random.default_rng(3)
