@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphweight.storage import written
 
-from .closure import tree
+from .closure import place_of, tree
 from .graph import ImportGraph, followed
 
 MAX_CHAINS = 10
@@ -28,20 +28,19 @@ class Target:
 
 
 def shortest_dag(graph: ImportGraph, entry: str, target: Target, include_dynamic: bool) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, depth, order, is_target) up to the level of the first target, and the edges from each level to the next.
+    """Nodes (node, depth, rank, is_target) up to the level of the first target, and the edges from each level to the next.
 
     Targets are not passed through; only those of the first level that has one count.
     """
     edges = graph.edges.where(followed(include_dynamic))
     hits = graph.nodes.where(target.matches()).select("path")
     marked = edges.join(hits.withColumnRenamed("path", "src"), "src", "left_anti")
-    # a level stops the traversal if it holds a target: targets are marked by an edge to themselves that cannot be taken
-    is_target = F.col("node").isin([target.module]) if target.module is not None else None
-    if is_target is None:
-        flagged = {r["path"] for r in hits.limit(10_001).collect()}
-        is_target = F.col("node").isin(sorted(flagged)) if len(flagged) <= 10_000 else None
-    found = tree(marked, entry, stop=is_target)
-    found = written(found.join(hits.select(F.col("path").alias("node"), F.lit(True).alias("is_target")), "node", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False))))
+    flags = hits.select(F.col("path").alias("dst"), F.lit(True).alias("_hit"))
+    marked = written(marked.join(flags, "dst", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))))
+    found = tree(marked, entry, stop=F.col("is_target"), flag="_hit")  # a level that holds a target ends the traversal
+    if not hits.where(F.col("path") == entry).isEmpty():
+        found = found.where("depth = 0").withColumn("is_target", F.lit(True))
+    marked = marked.drop("_hit")
     first = found.where("is_target").agg(F.min("depth").alias("d")).first()["d"]
     if first is None:
         return found.limit(0), edges.limit(0)
@@ -76,11 +75,10 @@ def all_shortest_chains(graph: ImportGraph, entry: str, target: Target, max_chai
     shape = "idx int, modules array<string>, edge_kinds array<string>"
     if deepest is None:
         return spark.createDataFrame([], shape)
-    order = found.select(F.col("node").alias("src"), F.col("order").alias("_o"))
-    place = F.coalesce(F.lpad(F.col("ord").cast("string"), 12, "0"), F.col("dst")) if "ord" in steps.columns else F.col("dst")
-    steps = steps.join(order, "src").select("src", "dst", "kind", "depth", F.struct(F.concat("_o", F.array(place)), "kind").alias("_by"))
-    ends = found.where("is_target").orderBy("order", "node").limit(max_chains)
-    partial = written(ends.select(F.row_number().over(W.orderBy("order", "node")).alias("idx"), F.array("node").alias("modules"), F.array().cast("array<string>").alias("edge_kinds")))
+    order = found.select(F.col("node").alias("src"), F.col("rank").alias("_o"))
+    steps = steps.join(order, "src").select("src", "dst", "kind", "depth", F.struct("_o", place_of(steps), "kind").alias("_by"))
+    ends = found.where("is_target").orderBy("rank", "node").limit(max_chains)
+    partial = written(ends.select(F.row_number().over(W.orderBy("rank", "node")).alias("idx"), F.array("node").alias("modules"), F.array().cast("array<string>").alias("edge_kinds")))
     for depth in range(deepest, 0, -1):
         more = partial.join(steps.where(F.col("depth") == depth), F.get("modules", F.lit(0)) == F.col("dst")).orderBy("idx", "_by").limit(max_chains)
         rank = F.row_number().over(W.orderBy("idx", "_by"))  # of at most max_chains rows

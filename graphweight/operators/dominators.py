@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .closure import reach
+from graphweight.storage import release, written
+
+from .closure import lineage, reach, tree
 from .graph import ImportGraph, followed
 
 #: Edges of a graph that one task may turn into a dominator tree.
@@ -75,18 +77,50 @@ def subtree_sums(idom: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.nd
     return out
 
 
-def exclusive_weights(graph: ImportGraph, entry: str, include_dynamic: bool = False) -> DataFrame:
-    """path, exclusive_size_bytes of every module the entry reaches, from one dominator tree.
+def reached_part(graph: ImportGraph, entry: str, include_dynamic: bool) -> tuple[DataFrame, DataFrame]:
+    """The nodes (path, size_bytes) that the entry reaches and the edges (src, dst) between them, as tables."""
+    edges = graph.edges.where(followed(include_dynamic)).select("src", "dst")
+    reached = reach(edges, edges.sparkSession.createDataFrame([(entry,)], "node string")).select(F.col("node").alias("path"))
+    sizes = written(reached.join(graph.nodes.select("path", "size_bytes"), "path"))
+    own = edges.join(sizes.select(F.col("path").alias("src")), "src", "left_semi").join(sizes.select(F.col("path").alias("dst")), "dst", "left_semi")
+    return sizes, written(own.select("src", "dst").where("src <> dst").distinct())
+
+
+def dominators(edges: DataFrame, entry: str) -> DataFrame:
+    """(node, dom): every node with each of its dominators, itself included, on tables alone.
 
-    The tree of one graph is built by one task: for graphs up to KERNEL_EDGES reachable edges. Larger ones are
-    refused; exclusive_of() answers for chosen modules of graphs of any size.
+    edges(src, dst) of the part that the entry reaches. Every node starts with its ancestors in a breadth-first
+    tree, which hold its dominators; a round keeps those that all its predecessors have as well. The rows fall from
+    round to round until they stay, and are then the dominators. Rows number the depths of the nodes in that tree;
+    a round is one join and two aggregations with partial sums, so that no node's edges lie in one task.
     """
-    edges = graph.edges.where(followed(include_dynamic)).select("src", "dst")
-    reached = reach(edges, edges.sparkSession.createDataFrame([(entry,)], "node string")).select("node")
-    own = edges.join(reached.withColumnRenamed("node", "src"), "src", "left_semi").distinct()
-    if (n := own.count()) > KERNEL_EDGES:
-        raise ValueError(f"{n} reachable edges: ask for the exclusive weights of chosen modules")
-    sizes = graph.nodes.join(reached.withColumnRenamed("node", "path"), "path", "left_semi")
+    links = edges.where(F.col("dst") != entry)
+    before = written(links.groupBy("dst").agg(F.count("*").alias("n")))
+    found = tree(edges, entry)
+    now = written(lineage(found, found.select("node")).select("node", F.explode("chain").alias("dom")))
+    rows = now.count()
+    while True:
+        common = links.join(now.withColumnsRenamed({"node": "src"}), "src").groupBy("dst", "dom").agg(F.count("*").alias("k")).join(before, "dst").where("k = n")
+        own = now.select("node").distinct().select("node", F.col("node").alias("dom"))
+        new = written(common.select(F.col("dst").alias("node"), "dom").where("node <> dom").unionByName(own))
+        left = new.count()
+        release(now)
+        now = new
+        if left == rows:
+            return now
+        rows = left
+
+
+def exclusive_weights(graph: ImportGraph, entry: str, include_dynamic: bool = False, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """path, exclusive_size_bytes of every module the entry reaches: the sizes of all that it dominates.
+
+    Up to kernel_edges reachable edges one task builds the dominator tree; larger graphs go through dominators().
+    Both give the same rows.
+    """
+    sizes, own = reached_part(graph, entry, include_dynamic)
+    if own.count() > kernel_edges:
+        dominated = dominators(own, entry).join(sizes.withColumnRenamed("path", "node"), "node")
+        return dominated.groupBy(F.col("dom").alias("path")).agg(F.sum("size_bytes").cast("long").alias("exclusive_size_bytes"))
     rows = sizes.select(F.lit(0).alias("g"), F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), "size_bytes")
     rows = rows.unionByName(own.select(F.lit(0).alias("g"), "src", "dst", F.lit(None).cast("long").alias("size_bytes")))
 
@@ -100,24 +134,3 @@ def exclusive_weights(graph: ImportGraph, entry: str, include_dynamic: bool = Fa
         return pd.DataFrame({"path": names, "exclusive_size_bytes": subtree_sums(idom, order, own.size_bytes.to_numpy(np.int64))})
 
     return rows.groupBy("g").applyInPandas(kernel, "path string, exclusive_size_bytes long")
-
-
-def exclusive_of(graph: ImportGraph, entry: str, candidates: DataFrame, include_dynamic: bool = False) -> DataFrame:
-    """path, exclusive_size_bytes of the candidates(path) that the entry reaches, without a dominator tree.
-
-    For each candidate the graph is traversed without it, all candidates in one traversal of (candidate, node)
-    pairs; its weight is that of what is missed. The pairs number candidates times reachable nodes.
-    """
-    spark = graph.nodes.sparkSession
-    edges = graph.edges.where(followed(include_dynamic)).select("src", "dst")
-    start = spark.createDataFrame([(entry,)], "node string")
-    whole = reach(edges, start).select("node")
-    sizes = graph.nodes.select(F.col("path").alias("node"), "size_bytes")
-    total = whole.join(sizes, "node").agg(F.sum("size_bytes").alias("total"))
-    chosen = candidates.select(F.col("path").alias("avoid")).distinct().join(whole.withColumnRenamed("node", "avoid"), "avoid", "left_semi")
-    seeds = chosen.withColumn("node", F.lit(entry))
-    left = reach(edges, seeds, group=["avoid"], keep=F.col("node") != F.col("avoid")).join(sizes, "node").groupBy("avoid").agg(F.sum("size_bytes").alias("left"))
-    out = chosen.join(left, "avoid", "left").join(F.broadcast(total))  # total is one row
-    return out.select(F.col("avoid").alias("path"), (F.col("total") - F.coalesce("left", F.lit(0))).cast("long").alias("exclusive_size_bytes"))
-
-

@@ -12,8 +12,8 @@ from graphweight.functions import stats as M
 from graphweight.operators import chains as C
 from graphweight.operators import diff as D
 from graphweight.operators.closure import tree
-from graphweight.operators.dominators import exclusive_of
-from graphweight.operators.graph import followed
+from graphweight.operators.dominators import exclusive_weights
+from graphweight.operators.graph import ImportGraph, followed
 from graphweight.operators.trace import Trace, TraceOptions, transitive_importers
 from graphweight.sources.tables import ENTRY, fk_graph
 from graphweight.storage import written
@@ -70,12 +70,12 @@ def q05_importers(spark, sf_dir):
 
 @query
 def q06_static_weight(spark, sf_dir):
-    return _trace(spark, sf_dir).summary().select("static_weight", "static_module_count")
+    return _trace(spark, sf_dir).static_summary()
 
 
 @query
 def q07_dynamic_only_weight(spark, sf_dir):
-    return _trace(spark, sf_dir).summary().select("dynamic_only_weight", "dynamic_only_module_count")
+    return _trace(spark, sf_dir).dynamic_summary()
 
 
 @query
@@ -100,14 +100,21 @@ def q10_dynamic_packages(spark, sf_dir):
 
 @query
 def q11_exclusive_weight(spark, sf_dir):
-    graph = fk_graph(spark, sf_dir).stored()
-    return exclusive_of(graph, ENTRY, graph.nodes.where("path like 'nation/%'").select("path"))
+    """Of every module that the entry reaches, from the dominator tree."""
+    return exclusive_weights(fk_graph(spark, sf_dir), ENTRY)
 
 
 @query
 def q11b_exclusive_weight_dynamic(spark, sf_dir):
-    graph = fk_graph(spark, sf_dir).stored()
-    return exclusive_of(graph, ENTRY, graph.nodes.where("path like 'nation/%'").select("path"), include_dynamic=True)
+    """With dynamic edges, from the dominators' table (no task holds the graph)."""
+    return exclusive_weights(fk_graph(spark, sf_dir), ENTRY, include_dynamic=True, kernel_edges=0)
+
+
+@query
+def q11c_modules_by_cost(spark, sf_dir):
+    """The modules other than packages' by their exclusive weight."""
+    trace = _trace(spark, sf_dir)
+    return trace.modules_by_cost(exclusive_weights(trace.graph, ENTRY))
 
 
 @query
@@ -152,35 +159,39 @@ def q16_chain_frequency(spark, sf_dir):
 def q17_cuts(spark, sf_dir):
     graph, target, found = _chains(spark, sf_dir)
     candidates = written(C.cut_candidates(graph, found, ENTRY, target))
-    return C.cuts(candidates, exclusive_of(graph, ENTRY, candidates.select("path")), found.count())
+    return C.cuts(candidates, exclusive_weights(graph, ENTRY), found.count())
 
 
-def _snapshots(spark, sf_dir):
-    graph = fk_graph(spark, sf_dir).stored()
-    return written(Trace.of(graph, ENTRY).snapshot()), written(Trace.of(graph, OTHER_ENTRY).snapshot())
+def _pair(spark, sf_dir):
+    return Trace.both(fk_graph(spark, sf_dir).stored(), ENTRY, OTHER_ENTRY)
 
 
 @query
 def q18_diff_sections(spark, sf_dir):
-    return D.diff_sections(*_snapshots(spark, sf_dir))
+    """The entry in two states of the graph: without two packages of suppliers, and without two of parts."""
+    graph, sides = fk_graph(spark, sf_dir).stored(), []
+    for names in (["nation-3", "nation-4"], ["Brand#1", "Brand#2"]):
+        gone = graph.nodes.where(F.col("package").isin(names)).select(F.col("path").alias("dst"))
+        sides.append(Trace.of(ImportGraph(graph.nodes, graph.edges.join(gone, "dst", "left_anti")), ENTRY))
+    a, b = sides
+    return D.sections(a.packages(), b.packages(), a.dynamic_packages(), b.dynamic_packages())
 
 
 @query
 def q19_shared_packages(spark, sf_dir):
-    a, b = _snapshots(spark, sf_dir)
-    return D.shared_count(D.entries(a, "packages"), D.entries(b, "packages"))
+    a, b = _pair(spark, sf_dir)
+    return D.shared_count(a.packages(), b.packages())
 
 
 @query
 def q20_diff_dynamic(spark, sf_dir):
-    a, b = _snapshots(spark, sf_dir)
-    x, y = D.entries(a, "dynamic_packages"), D.entries(b, "dynamic_packages")
+    x, y = (t.dynamic_packages() for t in _pair(spark, sf_dir))
     return x.join(y.withColumnRenamed("total_size_bytes", "other"), "name", "full").select("name", F.col("total_size_bytes").alias("size_a"), F.col("other").alias("size_b"))
 
 
 @query
 def q21_diff_summary(spark, sf_dir):
-    return D.diff_summary(*_snapshots(spark, sf_dir))
+    return D.diff_summary(*(t.snapshot() for t in _pair(spark, sf_dir)))
 
 
 @query

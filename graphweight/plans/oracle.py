@@ -19,15 +19,15 @@ EDGES = """edges(src, dst, kind) AS (
 GRAPH = f"WITH RECURSIVE {NODES}, {EDGES}"
 
 
-def _reach(name: str, entry: str, where: str) -> str:
-    return f"{name}(node) AS (SELECT '{entry}' UNION SELECT dst FROM {name} JOIN edges ON src = node WHERE {where})"
+def _reach(name: str, entry: str, where: str, edges: str = "edges") -> str:
+    return f"{name}(node) AS (SELECT '{entry}' UNION SELECT dst FROM {name} JOIN {edges} ON src = node WHERE {where})"
 
 
 STATIC, BOTH = "kind = 'static'", "kind <> 'type_only'"
 
 
-def _closures(entry: str, s: str = "s", d: str = "d") -> str:
-    return f"{_reach(s, entry, STATIC)}, {_reach(s + 'all', entry, BOTH)}, {d}(node) AS (SELECT node FROM {s}all EXCEPT SELECT node FROM {s})"
+def _closures(entry: str, s: str = "s", d: str = "d", edges: str = "edges") -> str:
+    return f"{_reach(s, entry, STATIC, edges)}, {_reach(s + 'all', entry, BOTH, edges)}, {d}(node) AS (SELECT node FROM {s}all EXCEPT SELECT node FROM {s})"
 
 
 def _weight(of: str, weight: str, count: str) -> str:
@@ -39,13 +39,30 @@ def _packages(of: str) -> str:
 
 
 T = f"{GRAPH}, {_closures('region/0')}"
-TWO = f"{T}, {_closures('region/1', 't', 'e')}, pa AS ({_packages('s')}), pb AS ({_packages('t')}), qa AS ({_packages('d')}), qb AS ({_packages('e')})"
 
+SIDES = f", pa AS ({_packages('s')}), pb AS ({_packages('t')}), qa AS ({_packages('d')}), qb AS ({_packages('e')})"
+TWO = f"{T}, {_closures('region/1', 't', 'e')}{SIDES}"
+WITHOUT = f"""{GRAPH}, ea AS (SELECT * FROM edges WHERE dst NOT IN (SELECT path FROM nodes WHERE package IN ('nation-3', 'nation-4'))),
+eb AS (SELECT * FROM edges WHERE dst NOT IN (SELECT path FROM nodes WHERE package IN ('Brand#1', 'Brand#2'))), {_closures('region/0', edges='ea')}, {_closures('region/0', 't', 'e', 'eb')}{SIDES}"""
 
-def _exclusive(where: str, candidates: str) -> str:
-    return f"""chosen(avoid) AS ({candidates}),
-avoiding(avoid, node) AS (SELECT avoid, 'region/0' FROM chosen WHERE avoid <> 'region/0' UNION SELECT avoid, dst FROM avoiding JOIN edges ON src = node WHERE {where} AND dst <> avoid),
-rest AS (SELECT avoid, sum(size_bytes)::BIGINT AS w FROM avoiding JOIN nodes ON path = node GROUP BY avoid)"""
+
+#: Rounds of the fixpoint of dominators that the SQL unrolls. The tests check that the last one changes nothing.
+ROUNDS = 14
+
+
+def _dominated(where: str, reached: str) -> str:
+    """dom(node, x): each reached node's dominators, as the ancestors in a breadth-first tree less what some predecessor lacks, round by round."""
+    out = f"""links AS (SELECT DISTINCT src, dst FROM edges WHERE {where} AND src IN (SELECT node FROM {reached}) AND dst <> 'region/0' AND src <> dst),
+hops(node, depth) AS (SELECT 'region/0', 0 UNION SELECT dst, depth + 1 FROM hops JOIN links ON src = node WHERE depth < 40),
+lvl AS (SELECT node, min(depth) AS depth FROM hops GROUP BY node),
+par AS (SELECT dst AS node, min(src) AS parent FROM links JOIN lvl a ON a.node = src JOIN lvl b ON b.node = dst WHERE b.depth = a.depth + 1 GROUP BY dst),
+up(node, x) AS (SELECT node, node FROM lvl UNION SELECT up.node, parent FROM up JOIN par ON par.node = x),
+inn AS (SELECT dst, count(*) AS n FROM links GROUP BY dst), d0 AS MATERIALIZED (SELECT * FROM up)"""
+    for k in range(1, ROUNDS + 1):
+        out += f""",
+d{k} AS MATERIALIZED (SELECT c.dst AS node, x FROM (SELECT links.dst, x, count(*) AS k FROM links JOIN d{k - 1} ON d{k - 1}.node = src GROUP BY links.dst, x) c JOIN inn ON inn.dst = c.dst WHERE k = n AND c.dst <> x UNION ALL SELECT node, node FROM lvl)"""
+    return out + f""",
+weights AS (SELECT x AS path, sum(size_bytes)::BIGINT AS exclusive_size_bytes FROM d{ROUNDS} JOIN nodes ON path = node GROUP BY x)"""
 
 
 DEPTH = f"""depths(node, depth) AS (SELECT 'region/0', 0 UNION SELECT dst, depth + 1 FROM depths JOIN edges ON src = node WHERE {STATIC} AND depth < 25),
@@ -90,10 +107,9 @@ ORACLES = {
     "q08_heavy_packages": f"{T} {_packages('s')} ORDER BY 2 DESC, 1 LIMIT 10",
     "q09_heavy_packages_ignoring": f"{T} SELECT * FROM ({_packages('s')}) WHERE name NOT IN ('Brand#1', 'nation-3')",
     "q10_dynamic_packages": f"{T} SELECT name, total_size_bytes FROM ({_packages('d')})",
-    "q11_exclusive_weight": f"""{T}, {_exclusive(STATIC, "SELECT node FROM s WHERE node LIKE 'nation/%'")}
-SELECT avoid AS path, ((SELECT sum(size_bytes) FROM s JOIN nodes ON path = node) - coalesce(w, 0))::BIGINT AS exclusive_size_bytes FROM chosen LEFT JOIN rest USING (avoid)""",
-    "q11b_exclusive_weight_dynamic": f"""{T}, {_exclusive(BOTH, "SELECT node FROM sall WHERE node LIKE 'nation/%'")}
-SELECT avoid AS path, ((SELECT sum(size_bytes) FROM sall JOIN nodes ON path = node) - coalesce(w, 0))::BIGINT AS exclusive_size_bytes FROM chosen LEFT JOIN rest USING (avoid)""",
+    "q11_exclusive_weight": f"{T}, {_dominated(STATIC, 's')} SELECT * FROM weights",
+    "q11b_exclusive_weight_dynamic": f"{T}, {_dominated(BOTH, 'sall')} SELECT * FROM weights",
+    "q11c_modules_by_cost": f"{T}, {_dominated(STATIC, 's')} SELECT weights.* FROM weights JOIN nodes USING (path) WHERE package IS NULL AND path <> 'region/0'",
     "q12_depths": f"{GRAPH}, {DEPTH} SELECT depth, count(*) AS modules FROM depth GROUP BY depth",
     "q13_threshold": f"{T}, w AS ({_weight('s', 'static_weight', 'n')}) SELECT static_weight, 1000000::BIGINT AS threshold, static_weight > 1000000 AS exceeded FROM w",
     "q14_path_count": f"""{GRAPH}, {_steps("SELECT path FROM nodes WHERE package = 'Brand#7'")},
@@ -103,10 +119,9 @@ SELECT depth AS hop_count, sum(n)::BIGINT AS path_count FROM ways JOIN hit USING
     "q16_chain_frequency": f"{CHAINS} SELECT p AS path, count(*) AS chains FROM (SELECT unnest(path) AS p FROM chains) GROUP BY p",
     "q17_cuts": f"""{CHAINS}, {_reach('s', 'region/0', STATIC)}, n AS (SELECT count(*) AS n FROM chains),
 freq AS (SELECT p, count(*) AS f FROM (SELECT unnest(path) AS p FROM chains) GROUP BY p),
-{_exclusive(STATIC, "SELECT p FROM freq, n WHERE f = n AND p <> 'region/0' AND p NOT IN (SELECT node FROM hit)")}
-SELECT avoid AS path, f AS chains_broken, ((SELECT sum(size_bytes) FROM s JOIN nodes ON path = node) - coalesce(w, 0))::BIGINT AS exclusive_size_bytes
-FROM chosen LEFT JOIN rest USING (avoid) JOIN freq ON p = avoid""",
-    "q18_diff_sections": f"""{TWO}
+{_dominated(STATIC, 's')}
+SELECT p AS path, f AS chains_broken, exclusive_size_bytes FROM freq JOIN n ON f = n JOIN weights ON path = p WHERE p <> 'region/0' AND p NOT IN (SELECT node FROM hit)""",
+    "q18_diff_sections": f"""{WITHOUT}
 SELECT 'only_in_a' AS section, name, total_size_bytes FROM pa WHERE name NOT IN (SELECT name FROM pb)
 UNION ALL SELECT 'only_in_b', name, total_size_bytes FROM pb WHERE name NOT IN (SELECT name FROM pa)
 UNION ALL SELECT 'dynamic_only_in_a', name, total_size_bytes FROM qa WHERE name NOT IN (SELECT name FROM qb)

@@ -14,7 +14,7 @@ from graphweight.errors import EntryNotFound, EntryNotInGraph, TargetIsEntry
 from graphweight.functions import scalar as X
 from graphweight.operators import chains as C
 from graphweight.operators import diff as D
-from graphweight.operators.dominators import exclusive_of, exclusive_weights
+from graphweight.operators.dominators import exclusive_weights
 from graphweight.operators.trace import Trace, TraceOptions
 from graphweight.project import Loaded, checked_entry, load, project_root
 from graphweight.storage import written
@@ -104,8 +104,7 @@ class Session:
         found, chains = self.chain(name, include_dynamic)
         candidates = written(C.cut_candidates(self.graph, chains, self.entry, found.target))
         n = chains.count()
-        weights = exclusive_of(self.graph, self.entry, candidates.select("path"), include_dynamic)
-        cuts = C.cuts(candidates, weights, n, top)
+        cuts = C.cuts(candidates, self.weights(include_dynamic), n, top)
         direct = C.direct_import(chains, candidates.isEmpty()).first()["direct_import"]
         return found, chains, cuts, bool(direct)
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What each open scratch() has written, innermost last: (file system, path).
+_OPEN: list[list[tuple]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: spark.checkpoint.dir if it names one, else (tests on one machine) a temporary one."""
     context = spark.sparkContext
@@ -24,19 +29,38 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and read back from a compressed table in the shared folder.
 
-    It cuts the lineage; lost executors do not lose it. The folder goes when the driver ends.
+    It cuts the lineage; lost executors do not lose it. The table goes with the scratch() it was written in, with
+    release(), or when the driver's JVM ends: its file system deletes it, also if the session was stopped before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    system.deleteOnExit(where)
+    if _OPEN:
+        _OPEN[-1].append((system, where))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = (system, where)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again. Frames that are no such tables are passed over."""
+    for table in tables:
+        if hasattr(table, "_table"):
+            system, where = table._table
+            system.delete(where, True)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at its end: what is returned must have been consumed, or written outside, by then."""
+    own: list[tuple] = []
+    _OPEN.append(own)
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone already
-        pass
+        yield
+    finally:
+        _OPEN.remove(own)
+        for system, where in own:
+            system.delete(where, True)

@@ -4,7 +4,7 @@ import pytest
 
 from graphweight.operators import chains as C
 from graphweight.operators import diff as D
-from graphweight.operators.dominators import exclusive_of, exclusive_weights
+from graphweight.operators.dominators import exclusive_weights
 from graphweight.operators.graph import ImportGraph
 from graphweight.operators.trace import Trace, TraceOptions
 from graphweight.schema import SNAPSHOT
@@ -41,7 +41,7 @@ def test_static_and_dynamic_weight(spark):
 def test_exclusive(spark, nodes, links, want):
     g = graph_of(spark, nodes, edges(links))
     assert dict(map(tuple, exclusive_weights(g, "e").collect())) == want
-    assert dict(map(tuple, exclusive_of(g, "e", g.nodes.select("path")).collect())) == want
+    assert dict(map(tuple, exclusive_weights(g, "e", kernel_edges=0).collect())) == want
 
 
 def test_exclusive_with_dynamic(spark):
@@ -60,7 +60,23 @@ def test_exclusive_on_random_graphs(spark):
         links += [(f"{k}.{rng.randrange(n)}", "S", f"{k}.{rng.randrange(n)}") for _ in range(rng.randint(1, 3 * n))]
         links.append(("0", "S", f"{k}.0"))
     g = graph_of(spark, nodes | {"0": 1}, links).stored()
-    assert sorted(map(tuple, exclusive_weights(g, "0").collect())) == sorted(map(tuple, exclusive_of(g, "0", g.nodes.select("path")).collect()))
+    sizes, after = nodes | {"0": 1}, {}
+    for a, _, b in links:
+        after.setdefault(a, set()).add(b)
+
+    def weight(avoid):
+        seen, todo = set(), [] if avoid == "0" else ["0"]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, set()) - {avoid}
+        return sum(sizes[x] for x in seen), seen
+
+    total, reached = weight(None)
+    want = sorted((x, total - weight(x)[0]) for x in reached)
+    assert sorted(map(tuple, exclusive_weights(g, "0").collect())) == want
+    assert sorted(map(tuple, exclusive_weights(g, "0", kernel_edges=0).collect())) == want
 
 
 def test_chains_and_cuts(spark):
@@ -109,6 +125,22 @@ def test_heavy_packages_ignore_and_top(spark):
     assert t.with_chains(t.heavy_packages()).first()["chain"] == ["e", "c"]
 
 
+def test_two_traces_at_once(spark):
+    g = graph_of(spark, {"a": 100, "b": 200, "c": 300, "d": (7, "p")}, edges("a>b a~>c b>c c~>d"))
+    x, y = Trace.both(g, "a", "c")
+    assert [tuple(t.summary().first()) for t in (x, y)] == [tuple(Trace.of(g, n).summary().first()) for n in "ac"] == [(600, 3, 7, 1), (300, 1, 7, 1)]
+    s = x.snapshot().first()
+    assert (s["entry"], s["static_weight"], s["packages"], s["dynamic_weight"], s["dynamic_packages"]) == ("a", 600, {}, 7, {"p": 7})
+
+
+def test_tree_follows_a_queue_over_many_levels(spark):
+    deep = graph_of(spark, {f"n{i:02}": 1 for i in range(14)}, edges(" ".join(f"n{i:02}>n{i + 1:02}" for i in range(13)) + " n00>n04"))
+    t = Trace.of(deep, "n00")
+    assert {r["node"]: r["depth"] for r in t.static.collect()} == {f"n{i:02}": i if i < 4 else i - 3 for i in range(14)}
+    assert C.find_chains(deep, "n00", C.Target(module="n13")).first()["modules"] == ["n00", *[f"n{i:02}" for i in range(4, 14)]]
+    assert dict(map(tuple, exclusive_weights(deep, "n00", kernel_edges=0).collect()))["n04"] == 10
+
+
 def test_edge_dedup_and_leaves(spark):
     g = graph_of(spark, {"a": 1}, [("a", "S", "b"), ("a", "S", "b"), ("a", "D", "b")])
     assert g.edges.count() == 2
