@@ -1,7 +1,7 @@
 """Intermediate tables, and the stand-in for a null id."""
 
-from graphweight.storage import shared_folder, written
+from graphweight.storage import release, scratch, shared_folder, written
 
-__all__ = ["NULL_ID", "shared_folder", "written"]
+__all__ = ["NULL_ID", "release", "scratch", "shared_folder", "written"]
 
 NULL_ID = -(1 << 63)
