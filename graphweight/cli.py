@@ -176,7 +176,8 @@ def parse_command(line: str) -> Command:
             ignored = []
             while rest and not rest[0].startswith("--"):
                 ignored.append(rest.pop(0))
-            options["ignore"] = tuple(ignored)
+            if ignored:
+                options["ignore"] = tuple(ignored)
         else:
             return Command("error", error=f"unknown option: {word}")
     needed = {"entry": "a file", "chain": "a package or file", "cut": "a package or file", "diff": "a file", "imports": "a file", "importers": "a file", "info": "a package", "set": "an option", "unset": "an option"}

@@ -12,7 +12,7 @@ _NAME = re.compile(r"[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*")
 _NUMBER = re.compile(r"\.?\d[\w.]*")
 _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-#: After these a slash begins a regular expression, though they are words.
+#: After these a slash begins a regular expression and a quote a string, though they are words.
 _OPERATORS = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
 
 Token = tuple[str, str]  # kind: name, string, number, regex, template, or the character itself
@@ -46,7 +46,9 @@ def tokens(source: str) -> Iterator[Token]:
         if m := _NAME.match(source, at):
             token, at = ("name", m[0]), m.end()
         elif c in "'\"":
-            if m := _STRING.match(source, at):
+            # a quote right after another word is an apostrophe in text between tags
+            inside_word = at > 0 and before[0] == "name" and (source[at - 1].isalnum() or source[at - 1] in "_$") and before[1] not in _OPERATORS and before[1] not in ("from", "import", "default")
+            if not inside_word and (m := _STRING.match(source, at)):
                 token, at = ("string", m[0][1:-1]), m.end()
             else:
                 at += 1

@@ -156,6 +156,14 @@ FROM events WHERE value IS NOT NULL) WHERE r > floor(n * 0.1) AND r <= n - floor
 SELECT a.event_type, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
   round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 4) AS df
 FROM m a, m b WHERE a.event_type <> 'click' AND b.event_type = 'click'""",
+    "q34b_p_value": """WITH m AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY event_type),
+w AS (SELECT a.event_type, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 4) AS df
+  FROM m a, m b WHERE a.event_type <> 'click' AND b.event_type = 'click'),
+-- Student's distribution as the share of cos(x)^(df - 1) up to atan(|t| / sqrt(df)), by Simpson's rule
+steps AS (SELECT k, CASE WHEN k = 0 OR k = 100000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS c FROM range(0, 100001) r(k)),
+parts AS (SELECT event_type, any_value(atan(abs(t) / sqrt(df))) * sum(c * cos(atan(abs(t) / sqrt(df)) * k / 100000) ** (df - 1)) AS part, any_value(pi() / 2) * sum(c * greatest(0, cos(pi() / 2 * k / 100000)) ** (df - 1)) AS whole
+  FROM w, steps GROUP BY event_type)
+SELECT event_type, round(1 - part / whole, 6) AS p FROM parts""",
     "q35_noise_floor": CHANGES + " SELECT round(CASE WHEN count(*) < 3 THEN 0.01 ELSE greatest(0.01, 1.4826 * mad(change)) END, 6) AS noise_floor FROM c",
     "q35b_bias_adjusted": CHANGES + " SELECT user_id, round(change - (SELECT CASE WHEN count(*) < 3 THEN 0 ELSE median(change) END FROM c), 6) AS change FROM c",
     "q36_transitive_importers": f"""{GRAPH}, up(node, depth) AS (SELECT 'part/1', 0 UNION SELECT src, depth + 1 FROM up JOIN edges ON dst = node WHERE {STATIC} AND depth < 25), least(node, depth) AS (SELECT node, min(depth) FROM up GROUP BY node)
