@@ -45,6 +45,16 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """written(), of a table that outlives the innermost scratch()."""
+    out = written(df)
+    if _OPEN:
+        last = _OPEN[-1].pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(last)
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing will read again. Frames that are no such tables are passed over."""
     for table in tables:
