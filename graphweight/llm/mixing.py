@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import row_of
 from .textscan import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -50,17 +51,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     """How much of each document a mix of the sources takes.
 
     docs: doc_id, source, text (and the columns named in keep). Returns per row doc_id, size (words of the text),
-    source_size, target, taken, and those of keep. Each row gets a hash-random key from its doc_id and the seed;
-    within a source rows stand in the order of the keys, and the first whole epochs and then the rows up to the
+    source_size, target, taken, and those of keep. Each row gets a hash-random key from its doc_id, its text and the seed, so that rows with
+    a null or the same doc_id are dealt out as well; within a source rows stand in the order of the keys, and the first whole epochs and then the rows up to the
     source's exact budget are taken, the last one in part. So the taken words of a source are its target, rounded
     down, and reruns agree.
 
     The prefix sums are made in two levels of 2**RANGE_BITS key ranges, summed before they are shuffled, and
     then within a range; no task holds a source. Null texts and texts without words have size 0 and nothing
-    taken; a null source is a source; rows that repeat a doc_id stand side by side, in the order of size (equal
-    rows are alike, so any order gives the same rows). An empty table gives an empty one.
+    taken; a null source is a source; repeated rows stand side by side (they are alike, so any order gives the same
+    rows). An empty table gives an empty one.
     """
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed), "text")
     part = lambda shift: F.shiftrightunsigned(key, 64 - RANGE_BITS * shift).bitwiseAND((1 << RANGE_BITS) - 1)
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_k"), part(1).alias("_b1"), part(2).alias("_b2"), *keep)
     fine = rows.groupBy("source", "_b1", "_b2").agg(F.sum("size").alias("_s"))
@@ -101,7 +102,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Returns the columns of docs; n_chars, where there is one, is that of the text given. Rows without words are
     not taken.
     """
-    plan = mix_sources(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row")), keep=["_row"], **options)
+    plan = mix_sources(docs.select("doc_id", "source", "text", row_of(docs).alias("_row")), keep=["_row"], **options)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     part = F.col("taken") - whole * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
@@ -109,4 +110,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     text = F.when(F.col("_cut") < 0, F.col("_row.text")).otherwise(first_words(F.col("_row.text"), F.col("_cut")))
     out = out.withColumn("_text", text)
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import written
+from .storage import row_of, written
 from .textscan import BLANKS
 
 #: Frequent function words of four languages; those of other labels are learned. "de", "en", "la", "un" and others serve several.
@@ -178,7 +178,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with their columns. The features are computed anew where they are needed, so that no text is shuffled."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
+    row = docs.select(row_of(docs).alias("_row"), "text", "lang")
     learned = learned_words(docs.select("text", "lang"))
     references = language_references(with_features(docs.select("text", "lang"), ["lang"], learned))
-    return with_verdict(with_features(row, ["_row", "lang"], learned), references).where(F.col("kept") & once()).select("_row.*")
+    return with_verdict(with_features(row, ["_row", "lang"], learned), references).where(F.col("kept") & once()).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

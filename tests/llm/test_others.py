@@ -44,6 +44,53 @@ def test_language(spark):
     assert identify(docs(spark, rows).limit(0)).isEmpty()
 
 
+def test_letters_are_those_of_unicode(spark):
+    texts = {"kn": "ಮನೆ ಮರ ನದಿ ನಗರ ", "gu": "ઘર વૃક્ષ નદી શહેર ", "am": "ቤት ዛፍ ወንዝ ከተማ ", "en": "house tree river town "}
+    rows = [(1000 * k + i, " ".join(random.Random(i).choices(t.split(), k=30)), lang, "s", 1) for k, (lang, t) in enumerate(texts.items()) for i in range(20)]
+    plain = [(9001, "١٢٣ ๑๒๓ 123 ½ ©", None, "s", 1), (9002, "ｈｏｕｓｅ", None, "s", 1), (9003, "𠀀𠀁", None, "s", 1), (9004, "\u0301 \u0301", None, "s", 1)]
+    got = {r["doc_id"]: r for r in identify(docs(spark, rows + plain)).collect()}
+    assert all(got[r[0]]["lang_pred"] == r[2] for r in rows)
+    assert got[9001]["lang_pred"] == got[9004]["lang_pred"] == "und" and got[9002]["lang_pred"] != "und" and got[9003]["lang_pred"] != "und"
+
+
+def test_every_label_is_learned(spark):
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in random.Random(i).choices(["one", "two", "red"], k=20)), f"l{k:03}", "s", 1) for k in range(90) for i in range(4)]
+    got = identify(docs(spark, rows)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_viterbi_in_blocks(monkeypatch, block):
+    from graphweight.llm import language
+
+    monkeypatch.setattr(language, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(block)
+    prior, penalty = np.log(np.array([0.5, 0.3, 0.2], np.float32)), 4.0
+    for _ in range(30):
+        doc = np.repeat(np.arange(4), rng.integers(1, 600, 4))
+        scores = (rng.standard_normal((len(doc), 3)) * 3).astype(np.float32)
+        got = language.spans(scores, doc, penalty, prior)
+        for d in range(4):
+            s = scores[doc == d].astype(float)
+            value, back = prior + s[0], []
+            for x in s[1:]:
+                stay = value >= value.max() - penalty
+                back.append(np.where(stay, np.arange(3), value.argmax()))
+                value = np.maximum(value, value.max() - penalty) + x
+            path = [int(value.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            assert (got[doc == d] == path[::-1]).all()
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = labelled() + [(970, (TEXTS["en"] * 12000) + TEXTS["el"] * 9000, None, "s", 1), (971, "a" * 700_000, None, "s", 1)]
+    got = {r["doc_id"]: r for r in identify(docs(spark, rows), with_spans=True).where("doc_id >= 970").collect()}
+    assert [s["lang"] for s in got[970]["spans"]] == ["en", "el"] and got[970]["spans"][1]["start"] == 12000 * len(TEXTS["en"].split())
+    assert got[971]["spans"][0]["words"] == 1
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 13), "en", f"s{(i * i) % 5}", 1) for i in range(300)] + odd()
     got = mix_sources(docs(spark, rows), keep=["source"]).collect()
@@ -238,3 +285,40 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
     table = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
     got = sorted(((r["doc_id"], r["text"].strip(), r["n_chars"] == len(r["text"])) for r in P.repeated_passages(spark, table, str(tmp_path)).collect()), key=str)
     assert got == sorted([(None, text[1], True), (None, text[2], True), (3, tail, True), (5, text[3], True), (5, text[4], True), (6, text[5], True)], key=str)
+
+
+def test_pipeline_passes_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    text = [" ".join(rng.choices([f"word{k}" for k in range(900)] + TEXTS["en"].split() * 40, k=120)) for _ in range(12)]
+    names = ["_key", "a.b", "key", "row", "d", "_own", "_text", "_kept", "x`y", "size", "taken", "_row", "node", "places", "_d"]
+    table = docs(spark, [(i if i else None, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(text)])
+    for k, n in enumerate(names):
+        table = table.withColumn(n, F.lit(k))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert rows and all([r[n] for n in names] == list(range(len(names))) for r in rows), name
+        assert stage(spark, table.limit(0), str(tmp_path)).isEmpty()
+    assert P.packing(spark, table, str(tmp_path)).select("doc_id").distinct().count() == 12
+
+
+def test_operators_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+    from graphweight.llm.queries import QUERIES
+    from graphweight.llm.ngram_join import ngram_join
+    from graphweight.llm.substring_dedup import substring_dedup
+    from graphweight.llm.suffix_dedup import suffix_dedup
+
+    rows = docs(spark, labelled(30) + odd())
+    more = rows
+    for k, n in enumerate(["d", "node", "a.b", "_k", "size", "w", "places", "host", "lang_pred", "_row", "n_words"]):
+        more = more.withColumn(n, F.lit(f"x{k}"))
+    for operator in (identify, mix_sources, quality.quality, license_scan.license_scan, pack, ngram_join, substring_dedup, suffix_dedup):
+        drop = lambda df: sorted(map(str, df.drop("sequence_id").collect()))
+        assert drop(operator(more)) == drop(operator(rows)), operator
+        assert operator(more.limit(0)).isEmpty()
+    assert len(QUERIES) == 10
