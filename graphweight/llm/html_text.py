@@ -11,19 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import NULL_ID
-from .textscan import Digests, byte_digests, flat, signed
+from .storage import NULL_ID, written
+from .textscan import Digests, byte_digests, covered, flat, signed
 
-#: A string of so many words that pages of one host share is boilerplate.
-MIN_TOKENS = 6
-#: A block goes if this share of its words is boilerplate.
-COVERED_SHARE = 0.8
+#: A string of so many words is boilerplate if it stands in this share of a host's distinct pages, and in so many of them at least.
+MIN_TOKENS, SHARE, MIN_PAGES = 6, 0.5, 4
+#: Pages of a host that one suffix array holds.
+CHUNK = 64
 
 # HTML elements by kind, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas title textarea select math audio video".split())
+RAW = frozenset("script style noscript template svg iframe object canvas title textarea select audio video".split())
 DROPPED = frozenset("head nav header footer aside form button dialog menu fieldset label option datalist".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math menclose mfrac mi mn mo mover mpadded mroot mrow mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACED = frozenset("br td th img".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -31,17 +31,26 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot select article main section
 HINTS = frozenset(
     "ad ads adbox advert advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner menu nav navbar navigation breadcrumb breadcrumbs "
     "pagination pager sidebar aside widget widgets footer header masthead comment comments commentlist disqus respond reply replies discussion share sharing social newsletter subscribe subscription signup "
-    "login search popup modal overlay related recommended toolbar complementary contentinfo search-form".split()
+    "login search popup modal overlay related recommended toolbar complementary contentinfo".split()
+)
+#: Words that may stand beside a hint in one class name: `ad-slot` and `related-posts` are set aside, `related-work` is not.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content desktop float form global group holder icon icons inner item items label left line link links list main mobile page panel "
+    "articles posts stories primary right row secondary section site slot sticky tag text title top unit wrap wrapper zone 1 2 3 4 5".split()
 )
-CONTAINER = r"""(?i)<(?:article|main)[\s>]|role\s*=\s*["']?main\b"""
-
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z)|\Z)"
+    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>(?:.*?</\1\s*>|.*\Z)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[\s_\-]+")
+_PARTS = re.compile(r"[_\-]+")
+
+
+def _sets_aside(name: str) -> bool:
+    """Whether a class, id or role is made of hints, and words that may stand beside them."""
+    parts = [p for p in _PARTS.split(name) if p]
+    return not HINTS.isdisjoint(parts) and all(p in HINTS or p in BESIDE for p in parts)
 
 
 def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
@@ -54,12 +63,12 @@ def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
         elif key == "role" and value == "main":
             main = True
         elif key in ("class", "id", "role"):
-            aside = aside or not HINTS.isdisjoint(_WORDS.split(value))
+            aside = aside or any(map(_sets_aside, value.split()))
     return aside, main
 
 
-def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
-    """Texts of the blocks of a page, in page order: inside its article, elsewhere but not set aside by the markup, and all outside of the article.
+def blocks(html: str) -> list[str]:
+    """Texts of a page's blocks that the markup does not set aside, in page order: those of its article, or of the whole page if it marks none.
 
     Set aside are menus, headers, footers, sidebars, forms, scripts, styles and hidden elements, by element, and
     notices, adverts and comments by the words of their class, id or role. Unclosed and overlapping elements end
@@ -67,7 +76,6 @@ def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
     """
     main: list[str] = []
     loose: list[str] = []
-    outside: list[str] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, set aside, in the article; as they hold inside it
     off = inside = heading = False
@@ -80,10 +88,8 @@ def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
             if text:
                 if inside and (not off or heading):
                     main.append(text)
-                else:
-                    if not off:
-                        loose.append(text)
-                    outside.append(text)
+                elif not off:
+                    loose.append(text)
 
     for m in _TAG.finditer(html):
         if m.start() > position:
@@ -135,7 +141,7 @@ def blocks(html: str) -> tuple[list[str], list[str], list[str]]:
         stack.append((name, off, inside))
     parts.append(html[position:])
     end_block()
-    return main, loose, outside
+    return main or loose
 
 
 def host_of(url: str | None) -> str:
@@ -143,7 +149,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the words of a page's blocks, one after another, and the block of each."""
     words = [t.split() for t in texts]
     column = pa.array([w for ws in words for w in ws], pa.string())
@@ -151,88 +157,158 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return byte_digests(data).of(offsets[:-1], offsets[1:]), np.repeat(np.arange(len(words)), [len(w) for w in words])
 
 
-def host_suffixes(pages: DataFrame, min_tokens: int) -> DataFrame:
-    """(host, suffix, stream, page, at): the suffixes of the token streams of all pages, outside of articles, as (digest of) their first min_tokens words.
+def windows_of(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Digest of every n words."""
+    return signed(Digests(tokens).windows(n)) if len(tokens) >= n else np.zeros(0, np.int64)
 
-    Sorted by host and suffix they are the hosts' suffix arrays, and equal neighbours the repeated strings. A
-    suffix with fewer words than min_tokens, unless it is the whole stream, is left out.
+
+def suffix_array(tokens: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Places of a concatenation of streams, sorted by the `depth` (or more) tokens that follow in their stream.
+
+    Prefix doubling: ranks by 1, 2, 4, ... tokens; a stream's end is less than any token. ends: the end of the stream of each place.
     """
+    n = len(tokens)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    length = 1
+    while length < depth:
+        ahead = np.arange(n) + length
+        second = np.where(ahead < ends, rank[np.minimum(ahead, n - 1)], 0)
+        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
+        length *= 2
+    return np.argsort(rank, kind="stable")
+
+
+def repeated_strings(streams: list[np.ndarray], min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the strings of min_tokens tokens that stand in two or more of the streams, and in how many.
+
+    Neighbours of the suffix array that agree in min_tokens tokens are an interval; its distinct streams are counted.
+    """
+    sizes = np.array([len(s) for s in streams])
+    tokens = np.concatenate(streams)
+    page, ends = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    whole = windows_of(tokens, min_tokens)
+    order = suffix_array(tokens, ends, min_tokens)
+    order = order[order + min_tokens <= ends[order]]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = whole[order]
+    interval = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    pairs = np.unique(interval * len(sizes) + page[order])
+    count = np.bincount(pairs // len(sizes), minlength=interval[-1] + 1)
+    first = np.searchsorted(interval, np.arange(interval[-1] + 1))
+    often = count > 1
+    return key[first[often]], count[often]
+
+
+def without(texts: list[str], boilerplate: np.ndarray, min_tokens: int) -> list[str]:
+    """Blocks without the words that strings of boilerplate cover; what is left of a block is joined by spaces.
+
+    A covered run goes if it holds min_tokens words of a block or the whole block: a repeated string that reaches a
+    word or two into the next block cuts nothing there.
+    """
+    tokens, block = tokens_of(texts)
+    at = np.flatnonzero(np.isin(windows_of(tokens, min_tokens), boilerplate))
+    if not len(at):
+        return texts
+    gone = covered(at, at + min_tokens, len(tokens))
+    out, first = [], np.searchsorted(block, np.arange(len(texts) + 1))
+    for text, x, y in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if not gone[x:y].any():
+            out.append(text)
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], gone[x:y], [False])).astype(np.int8)))
+        words, kept, position = text.split(), [], 0
+        for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if e - b >= min_tokens or e - b == y - x:
+                kept += words[position:b]
+                position = e
+        kept += words[position:]
+        if kept:
+            out.append(" ".join(kept))
+    return out
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, strings): digests of the strings of min_tokens words that stand in enough of a host's distinct pages.
+
+    streams(row, host, stream, n_tokens, texts); row tells rows apart. Pages with the same stream count once. The distinct pages of a
+    host are dealt by hash into chunks of CHUNK, each with a suffix array of its own. A string of `share` of all
+    pages has that share in some chunk, so what a chunk finds that often are the candidates of the host (few: each
+    needs its share of the pages). Candidates are then counted over all pages.
+    """
+    long_ = streams.where(F.col("n_tokens") >= min_tokens)
+    firsts = written(long_.groupBy("host", "stream").agg(F.min("row").alias("row")))
+    hosts = written(firsts.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    pages = written(long_.join(firsts, ["host", "stream", "row"]).join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / CHUNK)).cast("int")).select("host", "chunk", "n", "stream", "texts"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(host: str, held: dict[int, np.ndarray], n: int) -> pa.RecordBatch:
+            strings, count = repeated_strings(list(held.values()), min_tokens)
+            strings = strings[count >= max(share * len(held), min_pages if n <= CHUNK else 2)]
+            return pa.RecordBatch.from_arrays([pa.array([host] * len(strings), pa.string()), pa.array(strings)], names=["host", "string"])
+
+        now, held, size = None, {}, 0
+        for batch in batches:
+            for host, chunk, n, stream, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "chunk", "n", "stream", "texts")), strict=True):
+                if now != (host, chunk):
+                    if len(held) > 1:
+                        yield found(now[0], held, size)
+                    now, held, size = (host, chunk), {}, n
+                held[stream] = tokens_of(texts)[0]
+        if len(held) > 1:
+            yield found(now[0], held, size)
+
+    dealt = pages.repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    candidates = written(dealt.mapInArrow(search, "host string, string long").distinct())
+    lists = written(candidates.groupBy("host").agg(F.sort_array(F.collect_list("string")).alias("strings")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for page, url, html in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                words, _ = _stream(blocks(html or "")[2])
-                if len(words):
-                    letters = Digests(words)
-                    suffixes = letters.windows(min(min_tokens, len(words)))
-                    whole = letters.of(np.array([0]), np.array([len(words)]))
-                    rows[0] += [host_of(url)] * len(suffixes)
-                    rows[1].append(signed(suffixes))
-                    rows[2].append(np.repeat(signed(whole), len(suffixes)))
-                    rows[3].append(np.repeat(np.int64(page), len(suffixes)))
-                    rows[4].append(np.arange(len(suffixes)))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *[pa.array(np.concatenate(x)) for x in rows[1:]]], names=["host", "suffix", "stream", "page", "at"])
-
-    return pages.mapInArrow(emit, "host string, suffix long, stream long, page long, at long")
-
-
-def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+            hosts_, strings_ = [], []
+            for host, texts, strings in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "strings")), strict=True):
+                own = np.intersect1d(windows_of(tokens_of(texts)[0], min_tokens), np.array(strings, np.int64))
+                hosts_ += [host] * len(own)
+                strings_.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts_, pa.string()), pa.array(np.concatenate(strings_) if strings_ else np.zeros(0, np.int64))], names=["host", "string"])
+
+    counted = pages.join(lists, "host").select("host", "texts", "strings").mapInArrow(count, "host string, string long").groupBy("host", "string").agg(F.count("*").alias("k"))
+    often = counted.join(hosts, "host").where((F.col("k") >= F.col("n") * share) & (F.col("k") >= min_pages))
+    return written(often.groupBy("host").agg(F.sort_array(F.collect_list("string")).alias("strings")))
+
+
+def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of each row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    The words outside of a page's article are a token stream. The streams of a host's pages make a suffix array,
-    range-partitioned by host and suffix, so that no task holds a host; strings of min_tokens words that stand
-    in different streams of the host are its boilerplate (pages with the same stream are copies and count once).
-    A page with an article (or main element) keeps the article's blocks that the markup doesn't set aside; what
-    the author marks as the article stays also where pages share it. A page without keeps the blocks outside of
-    menus and the like that boilerplate does not cover.
+    The markup sets aside menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments; a page
+    with an article (or main element) keeps the blocks of it, another all that is left. Then, on every page, what is
+    boilerplate of its host goes: the words covered by strings of min_tokens words that stand in `share` of the
+    host's distinct pages, and in min_pages at least, found by suffix arrays of the pages' token streams
+    (boilerplate()). Text that fewer pages share, such as a quotation, a reprint or a teaser, stays.
 
-    Blocks are joined by one line end, character references decoded, white space made one space. Null and empty html gives an empty text;
-    cut-off html is read as far as it goes. Repeated rows get equal results; a null url is a host of its own; a
-    null page_id is returned as null. Other columns are not looked at. An empty table gives an empty one.
+    Blocks are joined by one line end, character references decoded, white space made one space. Null and empty html
+    gives an empty text; cut-off html is read as far as it goes. Repeated rows get equal results and count as one
+    page, as do pages with the same words; pages without a url are one host; a null page_id is returned as null.
+    Other columns are not looked at. An empty table gives an empty one.
     """
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    closed = F.col("html").rlike(CONTAINER)
-    suffixes = host_suffixes(rows, min_tokens)
-    array = suffixes.repartitionByRange(F.col("host"), F.col("suffix"))
-    shared = array.groupBy("host", "suffix").agg(F.min("stream").alias("x"), F.max("stream").alias("y")).where("x < y").select("host", "suffix")
-    # the marks of pages without an article; a page keeps those of its own stream
-    opened = host_suffixes(rows.where(~closed), min_tokens)
-    marks = opened.join(shared, ["host", "suffix"], "left_semi").groupBy("page").agg(F.sort_array(F.collect_set(F.struct("stream", "at"))).alias("marks")).withColumnRenamed("page", "_page")
-    OUT = "page long, url string, text string, n_chars long"
-
-    def batch_of(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page", "url", "text", "n_chars"])
-
-    def of_articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), "url", "html")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html in batch.column("html").to_pylist():
-                main, loose, _ = blocks(html)
-                texts.append("\n".join(main or loose))
-            yield batch_of(batch, texts)
+            texts = [blocks(html or "") for html in batch.column("html").to_pylist()]
+            words = [tokens_of(t)[0] for t in texts]
+            streams = [int(signed(Digests(w).of(np.array([0]), np.array([len(w)])))[0]) for w in words]
+            hosts = [host_of(url) for url in batch.column("url").to_pylist()]
+            columns = [pa.array(hosts, pa.string()), pa.array(streams, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *columns], names=["page", "url", "host", "stream", "n_tokens", "texts"])
+
+    streams = rows.mapInArrow(parse, "page long, url string, host string, stream long, n_tokens long, texts array<string>")
+    streams = written(streams.withColumn("row", F.monotonically_increasing_id()))
+    marks = boilerplate(streams, min_tokens, share, min_pages)
 
-    def of_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, found in zip(batch.column("html").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                _, loose, outside = blocks(html)
-                words, block = _stream(outside)
-                dropped: set[str] = set()
-                if len(words) and found:
-                    own = signed(Digests(words).of(np.array([0]), np.array([len(words)])))[0]
-                    at = np.array([x["at"] for x in found if x["stream"] == own], np.int64)
-                    covered = np.zeros(len(words), bool)
-                    for k in range(min(min_tokens, len(words))):
-                        covered[at + k] = True
-                    size = np.bincount(block, minlength=len(outside))
-                    share = np.bincount(block, weights=covered, minlength=len(outside)) / np.maximum(size, 1)
-                    dropped = {t for t, s in zip(outside, share.tolist(), strict=True) if s >= COVERED_SHARE}
-                texts.append("\n".join(t for t in loose if t not in dropped))
-            yield batch_of(batch, texts)
-
-    others = rows.where(~closed)
-    others = others.join(marks, others["page"] == marks["_page"], "left").select("page", "url", "html", "marks")
-    out = rows.where(closed).mapInArrow(of_articles, OUT).unionByName(others.mapInArrow(of_others, OUT))
+            out = ["\n".join(texts if strings is None else without(texts, np.array(strings, np.int64), min_tokens)) for texts, strings in zip(batch.column("texts").to_pylist(), batch.column("strings").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page", "url", "text", "n_chars"])
+
+    out = streams.join(marks, "host", "left").select("page", "url", "texts", "strings").mapInArrow(cut, "page long, url string, text string, n_chars long")
     return out.select(F.nullif(F.col("page"), F.lit(NULL_ID)).alias("page_id"), "url", "text", "n_chars")

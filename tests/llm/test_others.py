@@ -246,13 +246,86 @@ def test_vectors(spark, budget):
     assert vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
+def texts_of(spark, rows, **options):
+    return {r["page_id"]: r["text"] for r in html_text.main_text(pages_of(spark, rows), **options).collect()}
+
+
 def test_pages(spark):
     menu = "Home About us Contact all the shops near you "
     pages = [(i, f"http://h.example/{i}", f"<html><body><div>{menu}</div><div><p>Story {i} is &lt;told&gt; once\n here</p></div></body></html>") for i in range(4)]
     pages += [(10, "http://h.example/10", "<body><nav>x</nav><article><h1>T</h1><p>a<p>b &amp; c<div class='ad'>buy</div><script>1<2</script></article><footer>f</footer>"), (11, None, None), (12, "u", ""), (13, "u", "<p cut"), (14, "u", "<p>one<br>two</p>")]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    pages += [(15, "u", "<article><section class='related-work'><p>Related <math><mi>x</mi><mo>=</mo><mn>2</mn></math> work</p></section><div class='related-posts'>More</div><div class='ad-slot'>Buy</div></article>")]
+    pages += [(16, "v", "<p>" + "long text " * 200_000 + "</p>"), (None, "v", "<p>no id</p>"), (14, "u", "<p>one<br>two</p>")]
+    rows = html_text.main_text(pages_of(spark, pages)).collect()
+    got = {r["page_id"]: r["text"] for r in rows}
+    assert len(rows) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert [got[i] for i in range(4)] == [f"Story {i} is <told> once here" for i in range(4)]
-    assert got[10] == "T\na\nb & c" and got[11] == got[12] == got[13] == "" and got[14] == "one two"
+    assert got[10] == "T\na\nb & c" and got[11] == got[12] == got[13] == "" and got[14] == "one two" and got[15] == "Related x=2 work"
+    assert got[16] == ("long text " * 200_000).strip() and got[None] == "no id"
+    assert html_text.main_text(pages_of(spark, pages).limit(0)).isEmpty()
+
+
+def test_boilerplate_inside_articles(spark):
+    """A notice inside of every article goes; what a few pages share, and what copies of one page share, stays."""
+    notice, quote = "Read all our stories on the app for free", "to be or not to be that is the question here"
+    page = lambda i, body: (i, f"https://site.example/{i}", f"<main><p>unique text number {i} of this site</p><p>{body}</p></main>")
+    pages = [page(i, f"{notice} {i}{i} today and {quote if i < 3 else 'no quote'}") for i in range(9)]
+    pages += [(100 + k, "https://copies.example/x", "<main><p>the same page again and again in full</p></main>") for k in range(9)]
+    got = texts_of(spark, pages)
+    for i in range(9):
+        assert got[i] == f"unique text number {i} of this site\n{i}{i} today and {quote if i < 3 else 'no quote'}"
+    assert all(got[100 + k] == "the same page again and again in full" for k in range(9))
+
+
+@pytest.mark.parametrize("chunk", [3, 64])
+def test_boilerplate_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_text, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    vocabulary = [f"v{i}" for i in range(60)]
+    pages = []
+    for h in range(4):
+        common = [rng.choices(vocabulary, k=rng.randint(4, 14)) for _ in range(4)]
+        for i in range(rng.choice([3, 11, 26])):
+            blocks = [rng.choices(vocabulary, k=rng.randint(1, 12)) + (rng.choice(common) if rng.random() < 0.75 else []) for _ in range(rng.randint(1, 4))]
+            pages.append((100 * h + i, f"http://h{h}/{i}", blocks))
+        pages.append((100 * h + 50, f"http://h{h}/copy", pages[-1][2]))
+    n = 6
+    want = {}
+    for host in {u.split("/")[2] for _, u, _ in pages}:
+        own = [(p, b) for p, u, b in pages if u.split("/")[2] == host]
+        distinct = {tuple(w for block in b for w in block) for _, b in own}
+        distinct = {s for s in distinct if len(s) >= n}
+        count = collections.Counter(g for s in distinct for g in {s[k : k + n] for k in range(len(s) - n + 1)})
+        often = {g for g, c in count.items() if c >= 4 and c >= 0.5 * len(distinct)}
+        for p, b in own:
+            flat_, owner = [w for block in b for w in block], [k for k, block in enumerate(b) for _ in block]
+            gone = {k + j for k in range(len(flat_) - n + 1) if tuple(flat_[k : k + n]) in often for j in range(n)}
+            lines = []
+            for k, block in enumerate(b):
+                at = owner.index(k)
+                runs, keep = [], [True] * len(block)
+                for j in range(len(block)):
+                    if at + j in gone:
+                        runs = [*runs[:-1], (runs[-1][0], j + 1)] if runs and runs[-1][1] == j else [*runs, (j, j + 1)]
+                for x, y in runs:
+                    if y - x >= n or y - x == len(block):
+                        keep[x:y] = [False] * (y - x)
+                lines.append(" ".join(w for w, ok in zip(block, keep) if ok))
+            want[p] = "\n".join(x for x in lines if x)
+    got = texts_of(spark, [(p, u, "".join(f"<p>{' '.join(b)}</p>" for b in bs)) for p, u, bs in pages])
+    assert got == want and any(len(t.split()) < sum(map(len, dict((p, b) for p, _, b in pages)[p])) for p, t in want.items())
+
+
+def test_suffix_array():
+    text = np.array([3, 1, 2, 1, 2, 9, 1, 2, 1], np.uint64)
+    ends = np.array([5] * 5 + [9] * 4)
+    order = html_text.suffix_array(text, ends, 8).tolist()
+    suffixes = [tuple(text[i : ends[i]]) for i in range(9)]
+    assert [suffixes[i] for i in order] == sorted(suffixes)
 
 
 def test_pipeline(spark, tmp_path):
