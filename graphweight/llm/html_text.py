@@ -231,15 +231,15 @@ def without(texts: list[str], boilerplate: np.ndarray, min_tokens: int) -> list[
 def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, strings): digests of the strings of min_tokens words that stand in enough of a host's distinct pages.
 
-    streams(row, host, stream, n_tokens, texts); row tells rows apart. Pages with the same stream count once. The distinct pages of a
-    host are dealt by hash into chunks of CHUNK, each with a suffix array of its own. A string of `share` of all
-    pages has that share in some chunk, so what a chunk finds that often are the candidates of the host (few: each
-    needs its share of the pages). Candidates are then counted over all pages.
+    streams(host, stream, lead, n_tokens, texts). Pages with the same stream count once; lead: the row is the first
+    of its stream in its task, so that of many copies a few are dealt out. The distinct pages of a host are dealt
+    by hash into chunks of CHUNK, each with a suffix array of its own. A string of `share` of all pages has that
+    share in some chunk, so what a chunk finds that often are the candidates of the host (few: each needs its share
+    of the pages). Candidates are then counted over all pages.
     """
-    long_ = streams.where(F.col("n_tokens") >= min_tokens)
-    firsts = written(long_.groupBy("host", "stream").agg(F.min("row").alias("row")))
-    hosts = written(firsts.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    pages = written(long_.join(firsts, ["host", "stream", "row"]).join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / CHUNK)).cast("int")).select("host", "chunk", "n", "stream", "texts"))
+    leads = streams.where(F.col("lead") & (F.col("n_tokens") >= min_tokens)).select("host", "stream", "texts")
+    hosts = written(leads.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    pages = leads.join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / CHUNK)).cast("int"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(host: str, held: dict[int, np.ndarray], n: int) -> pa.RecordBatch:
@@ -264,14 +264,14 @@ def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts_, strings_ = [], []
-            for host, texts, strings in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "strings")), strict=True):
+            rows: list[tuple] = []
+            for host, stream, texts, strings in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "texts", "strings")), strict=True):
                 own = np.intersect1d(windows_of(tokens_of(texts)[0], min_tokens), np.array(strings, np.int64))
-                hosts_ += [host] * len(own)
-                strings_.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts_, pa.string()), pa.array(np.concatenate(strings_) if strings_ else np.zeros(0, np.int64))], names=["host", "string"])
+                rows += [(host, stream, x) for x in own.tolist()]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "stream", "string"])
 
-    counted = pages.join(lists, "host").select("host", "texts", "strings").mapInArrow(count, "host string, string long").groupBy("host", "string").agg(F.count("*").alias("k"))
+    counted = leads.join(lists, "host").select("host", "stream", "texts", "strings").mapInArrow(count, "host string, stream long, string long").distinct().groupBy("host", "string").agg(F.count("*").alias("k"))
     often = counted.join(hosts, "host").where((F.col("k") >= F.col("n") * share) & (F.col("k") >= min_pages))
     return written(often.groupBy("host").agg(F.sort_array(F.collect_list("string")).alias("strings")))
 
@@ -293,16 +293,19 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, share: float = SHA
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), "url", "html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             texts = [blocks(html or "") for html in batch.column("html").to_pylist()]
             words = [tokens_of(t)[0] for t in texts]
-            streams = [int(signed(Digests(w).of(np.array([0]), np.array([len(w)])))[0]) for w in words]
-            hosts = [host_of(url) for url in batch.column("url").to_pylist()]
-            columns = [pa.array(hosts, pa.string()), pa.array(streams, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array(texts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *columns], names=["page", "url", "host", "stream", "n_tokens", "texts"])
-
-    streams = rows.mapInArrow(parse, "page long, url string, host string, stream long, n_tokens long, texts array<string>")
-    streams = written(streams.withColumn("row", F.monotonically_increasing_id()))
+            keys = [(host_of(url), int(signed(Digests(w).of(np.array([0]), np.array([len(w)])))[0])) for url, w in zip(batch.column("url").to_pylist(), words, strict=True)]
+            lead = []
+            for key in keys:
+                lead.append(key not in seen)
+                seen.add(key)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lead, pa.bool_()), pa.array([len(w) for w in words], pa.int64()), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), *columns], names=["page", "url", "host", "stream", "lead", "n_tokens", "texts"])
+
+    streams = written(rows.mapInArrow(parse, "page long, url string, host string, stream long, lead boolean, n_tokens long, texts array<string>"))
     marks = boilerplate(streams, min_tokens, share, min_pages)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
