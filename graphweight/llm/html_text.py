@@ -157,6 +157,11 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return byte_digests(data).of(offsets[:-1], offsets[1:]), np.repeat(np.arange(len(words)), [len(w) for w in words])
 
 
+def coded(tokens: np.ndarray) -> np.ndarray:
+    """Tokens in 16 bits, to be dealt out. Strings of few tokens that differ seldom get equal codes; what is found by codes is counted by full digests."""
+    return (tokens >> np.uint64(48)).astype("<u2")
+
+
 def windows_of(tokens: np.ndarray, n: int) -> np.ndarray:
     """Digest of every n words."""
     return signed(Digests(tokens).windows(n)) if len(tokens) >= n else np.zeros(0, np.int64)
@@ -239,7 +244,13 @@ def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float =
     """
     leads = streams.where(F.col("lead") & (F.col("n_tokens") >= min_tokens)).select("host", "stream", "texts")
     hosts = written(leads.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    pages = leads.join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [coded(tokens_of(texts)[0]).tobytes() for texts in batch.column("texts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("stream"), pa.array(codes, pa.binary())], names=["host", "stream", "codes"])
+
+    pages = leads.mapInArrow(code, "host string, stream long, codes binary").join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / CHUNK)).cast("int"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(host: str, held: dict[int, np.ndarray], n: int) -> pa.RecordBatch:
@@ -249,12 +260,12 @@ def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float =
 
         now, held, size = None, {}, 0
         for batch in batches:
-            for host, chunk, n, stream, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "chunk", "n", "stream", "texts")), strict=True):
+            for host, chunk, n, stream, codes in zip(*(batch.column(c).to_pylist() for c in ("host", "chunk", "n", "stream", "codes")), strict=True):
                 if now != (host, chunk):
                     if len(held) > 1:
                         yield found(now[0], held, size)
                     now, held, size = (host, chunk), {}, n
-                held[stream] = tokens_of(texts)[0]
+                held[stream] = np.frombuffer(codes, "<u2").astype(np.uint64)
         if len(held) > 1:
             yield found(now[0], held, size)
 
@@ -266,7 +277,9 @@ def boilerplate(streams: DataFrame, min_tokens: int = MIN_TOKENS, share: float =
         for batch in batches:
             rows: list[tuple] = []
             for host, stream, texts, strings in zip(*(batch.column(c).to_pylist() for c in ("host", "stream", "texts", "strings")), strict=True):
-                own = np.intersect1d(windows_of(tokens_of(texts)[0], min_tokens), np.array(strings, np.int64))
+                tokens = tokens_of(texts)[0]
+                like = np.isin(windows_of(coded(tokens).astype(np.uint64), min_tokens), np.array(strings, np.int64))
+                own = np.unique(windows_of(tokens, min_tokens)[like])
                 rows += [(host, stream, x) for x in own.tolist()]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "stream", "string"])
