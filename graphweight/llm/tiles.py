@@ -65,26 +65,31 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
-Linked = Callable[[slice, slice], np.ndarray]
+Linked = Callable[[slice, slice], tuple[np.ndarray, np.ndarray]]
+#: Added to a member's weight, so that a chunk of small members has no more of them than its pairs' blocks can hold.
+MEMBER = 128
 
 
-def links_of(n: int, size: np.ndarray, node: np.ndarray, split: int | None, linked: Linked) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n members of a tile: rows that it links with (size counts those of a member), and the least node that links inside the tile reach.
+def links_of(n: int, size: np.ndarray, node: np.ndarray, split: int | None, linked: Linked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n members of a tile: rows that it links with (size counts those of a member), the least node that links inside the tile reach, and the least similarity of its links (infinite without one).
 
-    linked(x, y) compares two ranges of members. split: where the second chunk begins, in a tile of two.
+    linked(x, y) compares two ranges of members: which pairs link, and the pairs' similarities. split: where the second chunk begins, in a tile of two.
     """
-    count, root = np.zeros(n, np.int64), node.copy()
+    count, root, low = np.zeros(n, np.int64), node.copy(), np.full(n, np.inf)
     found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     lefts, right = (n if split is None else split), (0 if split is None else split)
     for i in range(0, lefts, BLOCK):
         x = slice(i, min(i + BLOCK, lefts))
         for j in range(max(right, i if split is None else 0), n, BLOCK):
             y = slice(j, min(j + BLOCK, n))
-            hit = linked(x, y)
+            hit, similarity = linked(x, y)
             if split is None and i == j:
                 np.fill_diagonal(hit, False)
             if not hit.any():
                 continue
+            similarity = np.where(hit, similarity, np.inf)
+            low[x] = np.minimum(low[x], similarity.min(axis=1))
+            low[y] = np.minimum(low[y], similarity.min(axis=0))
             count[x] += hit @ size[y]
             if split is not None or i != j:
                 count[y] += size[x] @ hit
@@ -98,21 +103,21 @@ def links_of(n: int, size: np.ndarray, node: np.ndarray, split: int | None, link
             root[a] = np.minimum(root[a], np.where(hit, root[b][None, :], top).min(axis=1))
             root[b] = np.minimum(root[b], np.where(hit, root[a][:, None], top).min(axis=0))
         changed = bool((root != before).any())
-    return count, root
+    return count, root, low
 
 
-def result(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(node, links, root) of tiles as larger batches; members without a link are left out."""
+def result(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(node, links, root, low) of tiles as larger batches; members without a link are left out."""
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["node", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["node", "links", "root", "low"])
 
-    for node, count, root in batches:
+    for node, count, root, low in batches:
         some = count > 0
         if some.any():
-            held.append((node[some], count[some], root[some]))
+            held.append((node[some], count[some], root[some], low[some]))
             rows += int(some.sum())
         if rows > 50_000:
             yield out()
@@ -121,4 +126,4 @@ def result(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iter
         yield out()
 
 
-RESULT = "node long, links long, root long"
+RESULT = "node long, links long, root long, low double"

@@ -130,8 +130,9 @@ def _met(index: np.ndarray, probes: np.ndarray, codes: np.ndarray, node: np.ndar
 def linked_vectors(x: np.ndarray, cosine: float) -> tiles.Linked:
     norm = np.sqrt((x * x).sum(axis=1))
 
-    def linked(a: slice, b: slice) -> np.ndarray:
-        return x[a] @ x[b].T / (norm[a][:, None] * norm[b][None, :]) >= cosine
+    def linked(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        cosines = x[a] @ x[b].T / (norm[a][:, None] * norm[b][None, :])
+        return cosines >= cosine, cosines
 
     return linked
 
@@ -212,11 +213,11 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
     entries = classes.select("x", "node").mapInArrow(index, OUT)
     met = entries.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
     clusters = components(met).withColumnRenamed("root", "cluster")
-    members = tiles.chunked(clusters.join(classes.select("node", F.size("x").cast("long").alias("weight")), "node"), budget)
+    members = tiles.chunked(clusters.join(classes.select("node", (F.size("x") + tiles.MEMBER).cast("long").alias("weight")), "node"), budget)
     members = members.join(classes, "node").select("node", "cluster", "q", "class_size", "x")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def each() -> Iterator[tuple[np.ndarray, ...]]:
             for tile in tiles.groups(batches):
                 order = np.argsort(tile.column("side").to_numpy(zero_copy_only=False), kind="stable")
                 node, side, size = (tile.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "side", "class_size"))

@@ -145,6 +145,37 @@ def test_ngram_join(spark, budget):
     assert sorted((plain(r["doc_id"]), r["n_links"], plain(r["component_id"]), r["kept"]) for r in got) == brute_links(rows)
 
 
+@pytest.mark.parametrize("budget", [1 << 19, 1500])
+def test_ngram_join_of_a_chain(spark, budget):
+    """Texts of which each is near its neighbours alone, and a group of near copies: with a small budget the chain is compared trie node by trie node."""
+    rng = random.Random(budget)
+    base = [f"c{i}" for i in range(900)]
+    rows = [(i, " ".join(base[4 * i : 4 * i + 100])) for i in range(150)]
+    copy = [f"k{i}" for i in range(200)]
+    for i in range(200, 240):
+        own = list(copy)
+        own[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = ngram_join(table(spark, rows), budget=budget).collect()
+    assert sorted((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == brute_links(rows)
+
+
+def test_work_on_a_chain_is_in_proportion(spark):
+    """Of a large cluster in which texts meet their neighbours alone, trie nodes are compared and not all pairs."""
+    from pyspark.sql import functions as F
+
+    from graphweight.llm import ngram_join as N
+
+    pairs = []
+    for n in (200, 400):
+        members = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("cluster"), F.lit(100).cast("long").alias("weight"))
+        tries = members.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree")).select("tree", F.floor((F.col("node") + F.col("tree")) / 2).alias("short"), F.col("node").alias("deep"), "node")
+        units = N._units(members, tries, "short", 1000).select("node", F.explode("units").alias("u")).select("node", "u.*").collect()
+        assert all(u["tree"] >= 0 and u["q"] == 1 for u in units)
+        pairs.append(sum(c * c for c in collections.Counter(u["cluster"] for u in units).values()))
+    assert pairs[1] < 2.1 * pairs[0]
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join(table(spark, [(1, None)]).limit(0)).isEmpty()
     assert [tuple(r) for r in ngram_join(table(spark, [(1, None)])).collect()] == [(1, 1, 1, 0, 1, True)]
