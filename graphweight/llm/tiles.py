@@ -15,15 +15,20 @@ from .storage import written
 BLOCK = 1024
 
 
+#: A cluster is cut into so many chunks before its chunks reach the budget, so that a middling one is not one task.
+SPREAD = 8
+
+
 def chunked(members: DataFrame, budget: int) -> DataFrame:
     """members(node, cluster, weight) with q: the chunks that the member's cluster is cut into.
 
-    A cluster of total weight up to `budget` is one chunk. A larger one has as many as it needs. The clusters' table
+    A cluster of total weight up to `budget` / SPREAD is one chunk. A larger one has up to SPREAD, and as many as it
+    needs where these would be beyond the budget. The clusters' table
     is written, so that both sides of the join are plain exchanges and a large cluster's members spread over tasks;
     what is compared comes in later, by node.
     """
     members = written(members)
-    chunks = written(members.groupBy("cluster").agg(F.ceil(F.sum("weight") / budget).cast("int").alias("q")))
+    chunks = written(members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("weight") / budget), F.least(F.lit(SPREAD), F.ceil(F.sum("weight") * SPREAD / budget))).cast("int").alias("q")))
     return members.join(chunks, "cluster")
 
 

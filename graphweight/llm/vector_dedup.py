@@ -17,13 +17,15 @@ from .components import components
 from .storage import NULL_ID, written
 
 MIN_COSINE = 0.95
-#: The code is learned from at most so many distinct vectors, those of least hash.
-SAMPLE, ITERATIONS, SEED = 20_000, 40, 11
+#: The code of a length is learned from at most so many of its distinct vectors, those of least hash; so many of the most common lengths have a learned code.
+SAMPLE, LENGTHS, ITERATIONS, SEED = 20_000, 16, 40, 11
 MOST_BITS = 64
 #: Radius of the search: this share of sample vectors moved to exactly MIN_COSINE stays within it.
 RADIUS_SHARE = 0.995
 #: Components of a chunk of a tile of the rerank.
 BUDGET = 1 << 21
+#: Entries of a bucket that one task compares; larger buckets are cut into tiles.
+MOST_MET = 8192
 
 
 @dataclass
@@ -85,7 +87,19 @@ def learn(sample: np.ndarray, n: int, cosine: float = MIN_COSINE) -> Quantiser:
         signs = np.where(v @ rotation > 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(v.T @ signs)
         rotation = left @ right
-    q = Quantiser(mean, principal @ rotation, 0, [], 0)
+    return calibrated(Quantiser(mean, principal @ rotation, 0, [], 0), sample, n, cosine, rng)
+
+
+def unlearned(dim: int, n: int, cosine: float = MIN_COSINE) -> Quantiser:
+    """Random axes for a rare length, their radius measured on random vectors."""
+    rng = np.random.default_rng(SEED + dim)
+    q = Quantiser(np.zeros(dim), rng.standard_normal((dim, min(MOST_BITS, dim))), 0, [], 0)
+    return calibrated(q, _unit(rng.standard_normal((2000, dim))), n, cosine, rng)
+
+
+def calibrated(q: Quantiser, sample: np.ndarray, n: int, cosine: float, rng: np.random.Generator) -> Quantiser:
+    """With the radius that RADIUS_SHARE of sample vectors moved to exactly the cosine stay within, and tables for it."""
+    bits = q.axes.shape[1]
     aside = rng.standard_normal(sample.shape)
     aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
     norm = np.linalg.norm(aside, axis=1, keepdims=True)
@@ -105,26 +119,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _met(index: np.ndarray, probes: np.ndarray, codes: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges between the members of a bucket whose codes lie within the radius: each to the least node that they reach."""
-    members = np.concatenate((index, probes))
-    root = node[members].copy()
+def _met(pairs: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges between members of a tile whose codes lie within the radius: each to the least node that they reach. pairs: places that are compared with places."""
+    root = node.copy()
     found = []
-    for i in range(0, len(index), tiles.BLOCK):
-        for j in range(i, len(members), tiles.BLOCK):
-            a, b = slice(i, min(i + tiles.BLOCK, len(index))), slice(j, j + tiles.BLOCK)
-            hit = np.bitwise_count(codes[members[a]][:, None] ^ codes[members[b]][None, :]) <= radius
-            if hit.any():
-                found.append((a, b, hit))
-    top, changed = np.iinfo(np.int64).max, True
+    for left, right in pairs:
+        for i in range(0, len(left), tiles.BLOCK):
+            for j in range(0, len(right), tiles.BLOCK):
+                a, b = left[i : i + tiles.BLOCK], right[j : j + tiles.BLOCK]
+                x, y = np.nonzero(np.bitwise_count(codes[a][:, None] ^ codes[b][None, :]) <= radius)
+                if len(x):
+                    found.append((a[x], b[y]))
+    changed = bool(found)
     while changed:
         before = root.copy()
-        for a, b, hit in found:
-            root[a] = np.minimum(root[a], np.where(hit, root[b][None, :], top).min(axis=1))
-            root[b] = np.minimum(root[b], np.where(hit, root[a][:, None], top).min(axis=0))
+        for a, b in found:
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
         changed = bool((root != before).any())
-    some = root != node[members]
-    return root[some], node[members][some]
+    some = root != node
+    return root[some], node[some]
 
 
 def linked_vectors(x: np.ndarray, cosine: float) -> tiles.Linked:
@@ -137,19 +151,20 @@ def linked_vectors(x: np.ndarray, cosine: float) -> tiles.Linked:
     return linked
 
 
-def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = SAMPLE, budget: int = BUDGET) -> DataFrame:
+def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = SAMPLE, budget: int = BUDGET, most_met: int = MOST_MET) -> DataFrame:
     """Links between vectors whose cosine, in double precision, is `cosine` or more.
 
     vectors: vec_id, embedding. Returns per row vec_id, n_links (other rows linked directly), component_id (least vec_id
     that links reach) and kept (vec_id = component_id).
 
-    Equal vectors are one class. A quantiser is learned from a bounded sample of the classes; the codes of all go
-    into the Hamming tables, and what a bucket's neighbours bring within the radius becomes edges to least nodes.
+    Equal vectors are one class. For each of the LENGTHS most common lengths a quantiser is learned from a bounded
+    sample of its classes; the codes of all go into the Hamming tables, and what a bucket's neighbours bring within
+    the radius becomes edges to least nodes. Buckets of more than most_met entries are cut into tiles.
     The components of these hold all candidate pairs, and inside them all pairs are reranked by the original
     vectors, in tiles of bounded size. So links are never wrong, and missed only where the codes miss a chain.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept. Vectors link only
-    with those of their length; only the most common length has a learned code, others take random axes. Rows
+    with those of their length; rarer lengths than LENGTHS have random axes, with a radius measured alike. Rows
     that repeat a vec_id count as rows. A null vec_id counts as smallest. Other columns are not looked at. An empty table
     gives an empty one.
     """
@@ -161,22 +176,21 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
     rows = rows.withColumn("x", F.when(usable, F.transform("x", lambda x: x + F.lit(0.0))))  # no negative zeros
     node = F.xxhash64(F.to_json(F.struct("x")), F.size("x"))
     classes = written(rows.where("x is not null").groupBy("x").agg(F.min("d").alias("class_d"), F.count("*").alias("class_size")).select("*", node.alias("node")))
-    sizes = classes.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = classes.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
     if not sizes:
         return rows.select(F.nullif(F.col("d"), F.lit(NULL_ID)).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.nullif(F.col("d"), F.lit(NULL_ID)).alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = sizes[0]
-    chosen = classes.where(F.size("x") == dim).orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(sample).select("x").toArrow().column("x").combine_chunks()
-    learned = spark.sparkContext.broadcast(learn(_unit(_matrix(chosen)), n, cosine))
+    codes_of = {}
+    for dim, n in sizes:  # one length's sample at a time
+        chosen = classes.where(F.size("x") == dim).orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(sample).select("x").toArrow().column("x").combine_chunks()
+        codes_of[dim] = learn(_unit(_matrix(chosen)), n, cosine)
+    learned, rare = spark.sparkContext.broadcast(codes_of), min(n for _, n in sizes)
     OUT = "dim long, bucket_table long, bucket long, node long, code long, probe int"
 
     def quantiser(size: int) -> Quantiser:
-        own = learned.value
-        if size == dim:
-            return own
-        bits = min(MOST_BITS, size)
-        axes = np.random.default_rng(SEED + size).standard_normal((size, bits))
-        cuts, near = cut_into_tables(bits, min(bits, max(1, math.ceil(bits * 0.2))), n)
-        return Quantiser(np.zeros(size), axes, min(bits, max(1, math.ceil(bits * 0.2))), cuts, near)
+        own = learned.value  # each worker's own copy
+        if size not in own:
+            own[size] = unlearned(size, rare, cosine)
+        return own[size]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,15 +209,16 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[np.ndarray] = []
         vs: list[np.ndarray] = []
-        radius: dict[int, int] = {}
-        for group in tiles.groups(batch.rename_columns(["cluster", "tile_i", "tile_j", "node", "code", "probe"]) for batch in batches):
-            node, code, probe = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "code", "probe"))
+        for tile in tiles.groups(batches):
+            node, code, probe, side = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("node", "code", "probe", "side"))
             if probe.all() or len(node) < 2:
                 continue
-            size = group.column("cluster")[0].as_py()
-            if size not in radius:
-                radius[size] = quantiser(size).radius
-            u, v = _met(np.flatnonzero(probe == 0), np.flatnonzero(probe), code.view(np.uint64), node, radius[size])
+            index = probe == 0
+            if tile.column("tile_i")[0] == tile.column("tile_j")[0]:
+                pairs = [(np.flatnonzero(index), np.arange(len(node)))]
+            else:  # two chunks of a large bucket
+                pairs = [(np.flatnonzero(index & (side == 0)), np.flatnonzero(side == 1)), (np.flatnonzero(index & (side == 1)), np.flatnonzero(~index & (side == 0)))]
+            u, v = _met(pairs, code.view(np.uint64), node, quantiser(tile.column("dim")[0].as_py()).radius)
             us.append(u)
             vs.append(v)
         if us:
@@ -211,7 +226,9 @@ def vector_dedup(vectors: DataFrame, cosine: float = MIN_COSINE, sample: int = S
 
     keys = ["dim", "bucket_table", "bucket"]
     entries = classes.select("x", "node").mapInArrow(index, OUT)
-    met = entries.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(search, "u long, v long")
+    hot = written(entries.groupBy(*keys).agg(F.count("*").alias("m")).where(F.col("m") > most_met).select(*keys, F.ceil(F.col("m") * 2 / most_met).cast("int").alias("q")))
+    dealt = entries.join(hot, keys, "left").select(F.xxhash64(*keys).alias("cluster"), "dim", "node", "code", "probe", F.coalesce("q", F.lit(1)).alias("q"))
+    met = tiles.grouped(tiles.dealt(dealt)).mapInArrow(search, "u long, v long")
     clusters = components(met).withColumnRenamed("root", "cluster")
     members = tiles.chunked(clusters.join(classes.select("node", (F.size("x") + tiles.MEMBER).cast("long").alias("weight")), "node"), budget)
     members = members.join(classes, "node").select("node", "cluster", "q", "class_size", "x")

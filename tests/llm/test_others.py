@@ -246,6 +246,35 @@ def test_vectors(spark, budget):
     assert vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+@pytest.mark.parametrize("most_met", [8192, 50])
+def test_recall_of_planted_vectors(spark, most_met):
+    """Pairs at a cosine just above the threshold, in two lengths with learned codes and one with random axes; repeated rows and null ids."""
+    from graphweight.llm import vector_dedup as V
+
+    rng = np.random.default_rng(most_met)
+    rows, planted = [], []
+    for k, (dim, n) in enumerate([(64, 400), (24, 300), (40, 200)]):
+        x = rng.standard_normal((n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((n, dim))
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y = 0.952 * x + np.sqrt(1 - 0.952**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        rows += [(10_000 * k + 2 * i + s, v.tolist()) for i in range(n) for s, v in enumerate((x[i], y[i]))]
+        planted += [(10_000 * k + 2 * i, 10_000 * k + 2 * i + 1) for i in range(n)]
+    rows += [(90_000, rows[0][1]), (90_000, rows[0][1]), (None, [1.0, 2.0]), (None, [2.0, 4.0])]
+    lengths, V.LENGTHS = V.LENGTHS, 2
+    try:
+        found = vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), most_met=most_met).collect()
+    finally:
+        V.LENGTHS = lengths
+    got = {r["vec_id"]: r for r in found}
+    assert len(found) == len(rows)
+    for k in range(3):
+        own = [(a, b) for a, b in planted if a // 10_000 == k]
+        assert sum(got[a]["component_id"] == got[b]["component_id"] for a, b in own) >= 0.97 * len(own)
+    assert got[90_000]["n_links"] >= 2 and got[90_000]["component_id"] == 0 and got[None]["n_links"] == 1 and got[None]["component_id"] is None
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
 
