@@ -100,26 +100,31 @@ def brute_bytes(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [4096, 1])
-def test_suffix_dedup(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "batches"), [(1 << 16, 4), (1 << 16, 7), (1, 2)])
+def test_suffix_dedup(spark, monkeypatch, most, batches):
     monkeypatch.setattr(S, "MOST_CLASSES", most)
+    monkeypatch.setattr(S, "BATCHES", batches)
+    monkeypatch.setattr(S, "ROWS", 16)
     rows = corpus(5) + ODD
     assert sorted(map(tuple, S.suffix_dedup(table(spark, rows)).collect()), key=str) == brute_bytes(rows, 200)
-
-
-def test_index_family_is_logarithmic():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    family, keys = S.IndexFamily(), []
-    for _ in range(40):
-        batch = rng.integers(0, 5000, 50, dtype=np.uint64)
-        family.add(batch)
-        keys.append(batch)
-        assert len(family.levels) <= 7
-    flat = np.concatenate(keys)
-    values, counts = np.unique(flat, return_counts=True)
-    assert (family.matched == np.isin(flat, values[counts > 1])).all()
+    assert S.suffix_dedup(table(spark, rows).limit(0)).isEmpty()
+
+
+def test_suffix_index_is_logarithmic(spark):
+    """Levels of sizes 4, 2 and 1 after 7 batches; each batch finds what it shares with itself and with any level."""
+    rng = random.Random(1)
+    index, seen, found, rows = S.SuffixIndex(8), [], set(), []
+    for k in range(7):
+        batch = [(rng.randrange(5), 100 * k + i, 1, bytearray(rng.choices(b"ab", k=rng.randint(8, 14)))) for i in range(6)]
+        rows += [(c, bytes(t)) for _, c, _, t in batch]
+        batch = [(0, c, n, t) for _, c, n, t in batch]
+        found |= {(r["c"], r["at"] + j) for r in index.add(spark.createDataFrame(batch, S.LEVEL)).collect() for j in range(r["count"])}
+        seen.append([size for size, _ in index.levels])
+    assert seen == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    count = collections.Counter(t[i : i + 8] for _, t in rows for i in range(len(t) - 7))
+    assert found == {(c, i) for c, t in rows for i in range(len(t) - 7) if count[t[i : i + 8]] > 1}
+    for size, level in index.levels:
+        assert level.count() == 6 * size
 
 
 def brute_links(rows):
