@@ -17,7 +17,7 @@ from .textscan import byte_digests, covered, pieces, signed
 #: Documents come in so many batches, by a hash of their id.
 BATCHES = 4
 #: Stretches around one anchor that one task may hold together; those of a more frequent anchor are indexed by single suffixes.
-MOST_CLASSES = 1 << 16
+MOST_CLASSES = 1024
 #: Stretches that a task scans at once, those of one anchor at least.
 ROWS = 8192
 LEVEL = "a long, c long, n long, content binary"
