@@ -127,6 +127,9 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TE
     docs: doc_id, text. Windows with enough of a template's words are aligned with it by patience alignment, and
     count where the alignment covers min_coverage of the template. Passages of one document do not overlap.
 
+    A passage may be longer than its template by SLACK: words that are put in beyond that end it. Notices, openings
+    and whole bodies of licences are templates; of a whole body found, its opening is a part and gives no row.
+
     Null and empty texts, and texts without a passage, give no row. Repeated rows give their passages each; a
     null doc_id is kept. Other columns are not looked at. An empty table gives an empty one. The number of templates is that of the parameter: fixed and small.
     """

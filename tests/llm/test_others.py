@@ -212,6 +212,66 @@ def test_license_alignment():
     assert license_scan.align([7, 7], [7]) == [(0, 0)]
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def test_license_alignment_against_longest_common_subsequences():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and len(pairs) <= lcs(a, b)
+    for _ in range(100):  # words of one template that are left out or put in: the alignment is a longest one
+        b = list(range(rng.randint(5, 60)))
+        a = [y for x in b for y in ([x] if rng.random() < 0.9 else [100 + rng.randrange(900)] if rng.random() < 0.5 else [])]
+        assert len(license_scan.align(a, b)) == lcs(a, b)
+
+
+def test_license_scan_against_every_window():
+    """Every window of every text aligned with every template, the best kept."""
+    rng = random.Random(7)
+    templates = [t for t in license_scan.TEMPLATES if t[0] in ("MIT", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-3.0", "ISC") and t[1] != "body"]
+    scanner = license_scan.Scanner(templates, 0.8)
+    for _ in range(10):
+        text = []
+        for _ in range(3):
+            text += [f"w{rng.randrange(50)}" for _ in range(rng.randint(3, 20))]
+            text += [w for w in rng.choice(templates)[2].split() if rng.random() < 0.97]
+        data = " ".join(text).encode()
+        words = license_scan.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        found = set()
+        for k, template in enumerate(scanner.words):
+            n = len(template) + max(2, int(0.25 * len(template)))
+            for s in range(len(words)):
+                pairs = license_scan.align(words[s : s + n].tolist(), template.tolist())
+                if len(pairs) >= 0.8 * len(template):
+                    found.add((k, s + pairs[0][0], s + pairs[-1][0] + 1, len(pairs)))
+        kept = []
+        for m in sorted(found, key=lambda m: (-m[3], -m[3] / len(scanner.words[m[0]]), m[2] - m[1], m[1], m[0])):
+            if all(m[2] <= x[1] or x[2] <= m[1] for x in kept):
+                kept.append(m)
+        assert scanner.scan(words) == sorted(kept, key=lambda x: x[1]) and kept
+
+
+def test_license_bodies(spark):
+    rows = []
+    for i, (name, kind, text) in enumerate(t for t in license_scan.TEMPLATES if t[1] == "body"):
+        w = text.split()
+        del w[len(w) // 3]
+        rows.append((i, "some words before " + " ".join(w) + " and some after", name, "s", 1))
+    rows.append((50, "plain words of a long text " * 100_000 + license_scan.TEMPLATES[0][2], "MIT", "s", 1))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs(spark, rows)).collect()}
+    assert {i: r["license"] for i, r in got.items()} == {r[0]: r[2] for r in rows}
+    assert all(r["kind"] == "body" and r["coverage"] > 0.95 and r["start_word"] == 3 for i, r in got.items() if i < 50) and got[50]["start_word"] == 600_000
+
+
 def test_license_scan(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     mit = next(t for n, k, t in license_scan.TEMPLATES if (n, k) == ("MIT", "text")).replace("software", "Work", 1)
