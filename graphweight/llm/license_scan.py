@@ -16,8 +16,8 @@ from .textscan import flat, pieces, word_hashes, word_spans
 
 #: Share of a template's words that a passage must align with, in order.
 MIN_COVERAGE = 0.8
-#: A window is opened where it holds this share of a template's words, in any order; it may be longer than the template by SLACK.
-SEED_SHARE, SLACK = 0.6, 0.25
+#: A window is opened where it holds enough of a template's words, in any order, for that; it may be longer than the template by SLACK.
+SLACK = 0.25
 OUT = "doc_id long, license string, kind string, start_word long, end_word long, n_matched long, template_words long, coverage double"
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII, without regard to case.
@@ -92,27 +92,54 @@ class Scanner:
             data = np.frombuffer(text.encode(), np.uint8)
             self.words.append(words_of(data, np.array([0, len(data)]))[0])
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
-
-    def passages(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        self.places = [np.unique(np.searchsorted(self.vocabulary, w), return_counts=True) for w in self.words]  # a template's words in the vocabulary, and how often it has them
+        self.member = np.zeros((len(self.words), len(self.vocabulary)), bool)
+        for k, (places, _) in enumerate(self.places):
+            self.member[k, places] = True
+        self.need = [max(1, int(np.ceil(min_coverage * len(w) - 1e-9))) for w in self.words]
+
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that some template has, and their places in the vocabulary."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[found] == words)
+        return at, found[at]
+
+    def likely(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> np.ndarray:
+        """documents x templates: whether a document's words, in any order and each as often as the template has it, could cover enough of the template. doc, word: the known words."""
+        size = max(1, len(self.vocabulary))
+        counts = np.bincount(doc * size + word, minlength=n_docs * size).reshape(n_docs, size)
+        out = np.zeros((n_docs, len(self.words)), bool)
+        for k, (places, often) in enumerate(self.places):
+            out[:, k] = np.minimum(counts[:, places], often).sum(axis=1) >= self.need[k]
+        return out
+
+    def passages(self, text: np.ndarray, likely: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(template, first word, end, words aligned) of every open window of a document that aligns well enough. They overlap: a window may start before the notice and end inside it."""
-        for k, template in enumerate(self.words):
-            at = np.flatnonzero(np.isin(text, template))
-            need, length = int(np.ceil(SEED_SHARE * len(template))), len(template) + max(2, int(SLACK * len(template)))
-            if not need or len(at) < need:
+        places, word = self.known(text)
+        for k in np.flatnonzero(likely).tolist():
+            template = self.words[k]
+            at = places[self.member[k, word]]
+            need, length = self.need[k], len(template) + max(2, int(SLACK * len(template)))
+            if len(at) < need:
                 continue
             open_ = at[np.searchsorted(at, at + length) - np.arange(len(at)) >= need]
             wanted, last = template.tolist(), None
             for s in open_.tolist():
                 pairs = align(text[s : s + length].tolist(), wanted)
-                if len(pairs) >= self.min_coverage * len(template):
+                if len(pairs) >= need:
                     found = k, s + pairs[0][0], s + pairs[-1][0] + 1, len(pairs)
                     if found != last:
                         yield found
                     last = found
 
-    def scan(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def scan(self, text: np.ndarray, likely: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
         """Passages that do not overlap: of overlapping ones that with more aligned words, then that of higher coverage, then the shortest, stays."""
-        found = sorted(self.passages(text), key=lambda m: (-m[3], -m[3] / len(self.words[m[0]]), m[2] - m[1], m[1], m[0]))
+        if likely is None:
+            word = self.known(text)[1]
+            likely = self.likely(np.zeros(len(word), np.int64), word, 1)[0]
+        found = sorted(self.passages(text, likely), key=lambda m: (-m[3], -m[3] / len(self.words[m[0]]), m[2] - m[1], m[1], m[0]))
         kept: list[tuple[int, int, int, int]] = []
         for m in found:
             i = bisect_left(kept, m[1], key=lambda x: x[1])  # what is kept does not overlap, so only its neighbours can
@@ -142,10 +169,11 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TE
             rows = []
             for i, j in pieces(offsets):
                 words, bounds = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                known = np.concatenate(([0], np.cumsum(np.isin(words, scanner.vocabulary))))
-                least = min((len(w) for w in scanner.words), default=0) * SEED_SHARE
-                for k in np.flatnonzero(np.diff(known[bounds]) >= max(1, least)).tolist():
-                    for t, start, end, matched in scanner.scan(words[bounds[k] : bounds[k + 1]]):
+                at, word = scanner.known(words)
+                doc = np.searchsorted(bounds, at, "right") - 1
+                likely = scanner.likely(doc, word, j - i)
+                for k in np.flatnonzero(likely.any(axis=1)).tolist():
+                    for t, start, end, matched in scanner.scan(words[bounds[k] : bounds[k + 1]], likely[k]):
                         n = len(scanner.words[t])
                         rows.append((ids[i + k], *scanner.names[t], start, end, matched, n, matched / n))
             if rows:
