@@ -177,8 +177,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns. The features are computed anew where they are needed, so that no text is shuffled."""
+    """The rows of docs that quality() keeps, with their columns. The rows are written beside their features, which are dear to compute: once, and no text is shuffled."""
     row = docs.select(row_of(docs).alias("_row"), "text", "lang")
-    learned = learned_words(docs.select("text", "lang"))
-    references = language_references(with_features(docs.select("text", "lang"), ["lang"], learned))
-    return with_verdict(with_features(row, ["_row", "lang"], learned), references).where(F.col("kept") & once()).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    features = written(with_features(row, ["_row", "lang"], learned_words(docs.select("text", "lang"))))
+    kept = with_verdict(features, language_references(features)).where("kept")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
