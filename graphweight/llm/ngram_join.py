@@ -22,7 +22,7 @@ TREES, MAX_DEPTH, TARGET_RECALL = 40, 8, 0.999999
 #: Shingles of a chunk of a tile.
 BUDGET = 1 << 19
 #: Cells of a dense block of shingle counts.
-CELLS = 1 << 23
+CELLS = 1 << 22
 _SEED = 20240229
 
 

@@ -18,7 +18,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTERS = np.random.default_rng(20240917).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(7).integers(0, 2, 256, dtype=np.uint64)
