@@ -175,7 +175,7 @@ def test_work_on_a_chain_is_in_proportion(spark):
     for n in (200, 400):
         members = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("cluster"), F.lit(100).cast("long").alias("weight"))
         tries = members.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree")).select("tree", F.floor((F.col("node") + F.col("tree")) / 2).alias("short"), F.col("node").alias("deep"), "node")
-        units = N._units(members, tries, "short", 1000).select("node", F.explode("units").alias("u")).select("node", "u.*").collect()
+        units = N._units(members, tries, "short", 2000).select("node", F.explode("units").alias("u")).select("node", "u.*").collect()
         assert all(u["tree"] >= 0 and u["q"] == 1 for u in units)
         pairs.append(sum(c * c for c in collections.Counter(u["cluster"] for u in units).values()))
     assert pairs[1] < 2.1 * pairs[0]
