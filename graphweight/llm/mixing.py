@@ -15,14 +15,21 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = 17
-#: Hash-random keys are summed in two levels of so many ranges each.
+#: Hash-random keys are summed in two levels of 2**RANGE_BITS ranges each.
 RANGE_BITS = 10
+KEY_BITS = 60
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_key(*values: Column) -> Column:
+    """The first KEY_BITS bits of the MD5 digest of the values, joined by bars (null: empty), as a number. Other engines have this digest too."""
+    joined = F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
@@ -61,9 +68,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     taken; a null source is a source; repeated rows stand side by side (they are alike, so any order gives the same
     rows). An empty table gives an empty one.
     """
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed), "text")
-    part = lambda shift: F.shiftrightunsigned(key, 64 - RANGE_BITS * shift).bitwiseAND((1 << RANGE_BITS) - 1)
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_k"), part(1).alias("_b1"), part(2).alias("_b2"), *keep)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_key(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_k"), *keep)
+    part = lambda level: F.shiftright("_k", KEY_BITS - RANGE_BITS * level).bitwiseAND((1 << RANGE_BITS) - 1)
+    rows = rows.withColumns({"_b1": part(1), "_b2": part(2)})
     fine = rows.groupBy("source", "_b1", "_b2").agg(F.sum("size").alias("_s"))
     coarse = fine.groupBy("source", "_b1").agg(F.sum("_s").alias("_s"))
     ahead = lambda *by: W.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)

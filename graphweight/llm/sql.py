@@ -1,5 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries it can express."""
 
+from . import mixing as M
 from . import quality as Q
 
 OP1 = r"""
@@ -19,7 +20,97 @@ WITH words AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES = {"op1_substring_dedup": OP1}
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list(DISTINCT g)) AS s FROM places WHERE i <= greatest(n - 4, 1) GROUP BY doc_id
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS class_id, count(*) AS class_size FROM sets GROUP BY s
+), grams AS MATERIALIZED (
+  SELECT class_id, n, class_size, dense_rank() OVER (ORDER BY g) AS g FROM (SELECT class_id, n, class_size, g, count(*) OVER (PARTITION BY g) AS m FROM (SELECT class_id, n, class_size, unnest(s) AS g FROM classes)) WHERE m > 1
+), links AS MATERIALIZED (
+  SELECT a.class_id AS u, b.class_id AS v, any_value(b.class_size) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+  SELECT class_id, class_id FROM classes UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), components AS (
+  SELECT u, min(v) AS component_id FROM reach GROUP BY u
+), others AS (
+  SELECT u, sum(m) AS n FROM links GROUP BY u
+)
+SELECT words.doc_id, coalesce(class_id, words.doc_id) AS class_id, coalesce(class_size, 1)::BIGINT AS class_size, (coalesce(class_size, 1) - 1 + coalesce(others.n, 0))::BIGINT AS n_links,
+  coalesce(component_id, words.doc_id) AS component_id, words.doc_id = coalesce(component_id, words.doc_id) AS kept
+FROM words LEFT JOIN sets ON sets.doc_id = words.doc_id LEFT JOIN classes ON sets.s = classes.s LEFT JOIN others ON others.u = class_id LEFT JOIN components ON components.u = class_id
+"""
+
+OP7 = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.r AS u, b.r AS v FROM vectors a JOIN vectors b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.95
+), reach(u, v) AS (
+  SELECT r, r FROM vectors UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), components AS (
+  SELECT u, min(vec_id) AS component_id FROM reach JOIN vectors ON r = v GROUP BY u
+), found AS (
+  SELECT vec_id, component_id, (SELECT count(*) FROM links WHERE links.u = r) AS n FROM vectors JOIN components ON u = r
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN found ON found.vec_id = e.vec_id
+"""
+
+OP9 = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+  SELECT r, i, md5_number(b[i + 1:i + 200]) AS k FROM (SELECT r, b, unnest(range(0, n - 199)) AS i FROM docs WHERE n >= 200)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS m FROM starts) WHERE m > 1
+), runs AS (
+  SELECT r, min(i) AS x, max(i) + 200 AS y FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM twice)) GROUP BY r, run
+), spans AS (
+  SELECT r, sum(y - x) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+), rest AS (
+  SELECT r, lag(y, 1, 0) OVER (PARTITION BY r ORDER BY x) AS lo, x AS hi FROM (SELECT r, x, y FROM runs UNION ALL SELECT r, n, n FROM docs)
+), kept AS (
+  SELECT r, string_agg(hex(b[lo + 1:hi]), '' ORDER BY lo) AS h FROM rest JOIN docs USING (r) WHERE lo < hi GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM docs LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op6_ngram_join": OP6, "op7_vector_dedup": OP7, "op9_suffix_dedup": OP9}
+
+
+def _mix() -> str:
+    """The targets by levels, the rows in the order of their keys, and the cut."""
+    weights = ", ".join(str(float(w)) for w in M.WEIGHTS)
+    return rf"""
+WITH sizes AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
+    substr(md5(concat_ws('|', '{M.SEED}', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, {M.KEY_BITS // 4}) AS k FROM documents
+), sources AS (
+  SELECT source, sum(size)::DOUBLE AS s, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sizes GROUP BY source
+), weighed AS (
+  SELECT *, ([{weights}])[(r - 1) % {len(M.WEIGHTS)} + 1]::DOUBLE AS w FROM sources
+), levels AS (
+  SELECT *, ({M.SHARE}::DOUBLE * sum(s) OVER () - {M.MOST_EPOCHS}::DOUBLE * coalesce(sum(s) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY s / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, s::BIGINT AS source_size, CASE WHEN s > 0 THEN least({M.MOST_EPOCHS} * s, w * coalesce((SELECT level FROM levels WHERE w * level <= {M.MOST_EPOCHS} * s ORDER BY s / w, r LIMIT 1), 'infinity'::DOUBLE)) ELSE 0 END AS target FROM levels
+), placed AS (
+  SELECT sizes.*, source_size, target, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
+    coalesce(sum(size) OVER (PARTITION BY sizes.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM placed
+"""
 
 
 def _quality() -> str:
@@ -69,4 +160,5 @@ FROM c LEFT JOIN least ON c.doc_id = least.doc_id
 """
 
 
+ORACLES["op3_mix_sources"] = _mix()
 ORACLES["op5_quality"] = _quality()
