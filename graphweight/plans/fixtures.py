@@ -372,18 +372,20 @@ NODE_FILES = {
     "/r/node_modules/esm/package.json": '{"module": "m.mjs", "main": "c.js"}', "/r/node_modules/esm/m.mjs": "", "/r/node_modules/esm/c.js": "",
     "/r/node_modules/plain/index.js": "", "/r/node_modules/@s/x/package.json": '{"exports": {".": {"types": "./t.d.ts", "import": "./i.mjs", "default": "./d.js"}, "./f/*": "./src/*.js", "./gone": null}}',
     "/r/node_modules/@s/x/i.mjs": "", "/r/node_modules/@s/x/d.js": "", "/r/node_modules/@s/x/src/one.js": "", "/r/node_modules/@s/x/hidden.js": "",
+    "/r/package.json": '{"imports": {"#one": "./src/one.ts", "#db": {"browser": "./no.js", "node": "plain"}, "#in/*": "./src/*.ts", "#in/shut/*": null, "#up": "../up.js", "#lost": "./src/lost.ts"}}', "/r/src/one.ts": "",
     "/r/src/node_modules/near/index.js": "", "/r/node_modules/near/index.js": "", "/r/node_modules/bad/package.json": "{", "/r/node_modules/bad/index.js": "",
 }
 NODE_ANSWERS = {
     "./a": "/r/src/a.ts", "./b": "/r/src/b.tsx", "./c": "/r/src/c/index.js", "./d.json": "/r/src/d.json", "./e.js": "/r/src/e.ts", "./m.mjs": "/r/src/m.mts", "./types": "/r/src/types.d.ts", "./none": None, "../src/a": "/r/src/a.ts",
     "main": "/r/node_modules/main/lib/m.js", "main/extra": "/r/node_modules/main/extra.js", "esm": "/r/node_modules/esm/m.mjs", "plain": "/r/node_modules/plain/index.js", "@s/x": "/r/node_modules/@s/x/i.mjs", "@s/x/f/one": "/r/node_modules/@s/x/src/one.js",
+    "#one": "/r/src/one.ts", "#db": "/r/node_modules/plain/index.js", "#in/one": "/r/src/one.ts", "#in/shut/one": None, "#up": None, "#lost": None, "#none": None,
     "@s/x/hidden.js": None, "@s/x/gone": None, "near": "/r/src/node_modules/near/index.js", "bad": "/r/node_modules/bad/index.js", "fs": None, "node:path": None, "missing": None,
 }
 
 
 @fixed("folder VARCHAR, specifier VARCHAR, resolved VARCHAR", [("/r/src", s, a) for s, a in NODE_ANSWERS.items()])
 def f18_node_resolution(spark, sf_dir):
-    """Written and added extensions, folders, main fields, exports with conditions and patterns, the nearest node_modules; built-ins and what is not there have no answer."""
+    """Written and added extensions, folders, main fields, exports with conditions and patterns, the nearest node_modules, imports of the package itself; built-ins and what is not there have no answer."""
     manifests = _table(spark, "path string, content binary", [(p, bytearray(t.encode())) for p, t in NODE_FILES.items() if p.endswith("package.json")])
     return resolve_node(_table(spark, "folder string, specifier string", [("/r/src", s) for s in NODE_ANSWERS]), _listing(spark, list(NODE_FILES)), manifests)
 

@@ -52,32 +52,57 @@ def _conditional(target: object) -> Iterable[str]:
                 yield from _conditional(x)
 
 
-def package_targets(manifest: str | None, inside: str) -> list[str]:
-    """Paths below a package's folder that may answer for a path inside it; a manifest with exports answers alone."""
+def _about(manifest: str | None) -> dict:
     try:
         about = json.loads(manifest or "{}")
     except ValueError:
-        about = {}
-    about = about if isinstance(about, dict) else {}
+        return {}
+    return about if isinstance(about, dict) else {}
+
+
+def _mapped(table: dict, key: str) -> list[str]:
+    """Targets of a key in a map of exports or imports: its own entry, or the pattern with the longest part before its star."""
+    if key in table:
+        return list(_conditional(table[key]))
+    best = max((k for k in table if "*" in k and key.startswith(k.split("*")[0]) and key.endswith(k.split("*", 1)[1]) and len(key) >= len(k) - 1), key=lambda k: (len(k.split("*")[0]), len(k)), default=None)
+    if best is None:
+        return []
+    head, tail = best.split("*", 1)
+    part = key[len(head) : len(key) - len(tail)]
+    return [p.replace("*", part) for p in _conditional(table[best])]
+
+
+def package_targets(manifest: str | None, inside: str) -> list[str]:
+    """Paths below a package's folder that may answer for a path inside it; a manifest with exports answers alone."""
+    about = _about(manifest)
     exports = about.get("exports")
     if exports is not None:
-        key = "./" + inside if inside else "."
         if not isinstance(exports, dict) or not any(str(k).startswith(".") for k in exports):
             exports = {".": exports}
-        if key in exports:
-            return [os.path.normpath(p) for p in _conditional(exports[key])]
-        best = max((k for k in exports if "*" in k and key.startswith(k.split("*")[0]) and key.endswith(k.split("*", 1)[1]) and len(key) >= len(k) - 1), key=lambda k: (len(k.split("*")[0]), len(k)), default=None)
-        if best is None:
-            return []
-        head, tail = best.split("*", 1)
-        part = key[len(head) : len(key) - len(tail)]
-        return [os.path.normpath(p.replace("*", part)) for p in _conditional(exports[best])]
+        return [os.path.normpath(p) for p in _mapped(exports, "./" + inside if inside else ".")]
     if inside:
         return file_forms(inside)
     mains = [os.path.normpath(about[f]) for f in MAIN_FIELDS if isinstance(about.get(f), str)]
     return [form for m in mains for form in file_forms(m)] + [f"index{e}" for e in EXTENSIONS]
 
 
+def import_targets(manifest: str | None, specifier: str) -> list[str]:
+    """What a package's own manifest names for a specifier that starts with a hash sign: paths from its folder (with ./ before them) or other packages."""
+    imports = _about(manifest).get("imports")
+    if not isinstance(imports, dict) or specifier == "#" or specifier.startswith("#/"):
+        return []
+    return ["./" + os.path.normpath(t) if t.startswith("./") else t for t in _mapped(imports, specifier) if not t.startswith(("../", "/", "#"))]
+
+
+def folders_above(folder: str) -> list[str]:
+    """The folder itself and those above it."""
+    out = [folder]
+    while folder not in ("/", ""):
+        folder = os.path.dirname(folder)
+        out.append(folder)
+    return out
+
+
 def package_folders(folder: str, name: str) -> list[str]:
     out = []
     while True:
@@ -96,7 +121,8 @@ def resolve_node(questions: DataFrame, fs: DataFrame, manifests: DataFrame) -> D
     """questions(folder, specifier), fs(path, is_dir), manifests(path, content) of package.json files to folder, specifier, resolved.
 
     A bare specifier first meets the manifests of the package's folders above it (a join on their paths), and then
-    asks for the files that these name; the nearest folder that has one answers.
+    asks for the files that these name; the nearest folder that has one answers. A specifier that starts with a hash
+    sign is first put to the nearest manifest above the folder, which names files or packages in its place.
     """
 
     def base(folder: str, specifier: str) -> str:
@@ -120,11 +146,22 @@ def resolve_node(questions: DataFrame, fs: DataFrame, manifests: DataFrame) -> D
     def targets(manifest: bytes | None, inside: str) -> list[str]:
         return package_targets(None if manifest is None else manifest.decode("utf-8", "replace"), inside)
 
+    @F.udf("array<string>")
+    def instead(manifest: bytes, specifier: str) -> list[str]:
+        return import_targets(manifest.decode("utf-8", "replace"), specifier)
+
+    packages = manifests.select(F.regexp_replace("path", "/package\\.json$", "").alias("package"), "content")
     bare = questions.select("folder", "specifier").distinct().where(~F.col("specifier").rlike(r"^(\.{0,2}/|\.{1,2}$)"))
-    asked = bare.select("folder", "specifier", F.explode(places("folder", "specifier")).alias("p")).select("folder", "specifier", "p.*")
+    own = bare.where("specifier like '#%'").select("folder", "specifier", F.explode(F.udf(folders_above, "array<string>")("folder")).alias("package"))
+    scope = own.join(packages, "package").groupBy("folder", "specifier").agg(F.max_by(F.struct("package", "content"), F.length("package")).alias("s"))
+    named = scope.select("folder", "specifier", "s.package", F.posexplode(instead("s.content", "specifier")).alias("turn", "target"))
+    below_scope = named.where("target like './%'").select("folder", "specifier", "turn", F.lit(0).alias("rank"), F.lit(0).alias("form"), "package", F.substring("target", 3, 1 << 30).alias("below"))
+    put = named.where("target not like './%'").select("folder", "specifier", "turn", F.col("package").alias("from"), "target")
+    put = put.unionByName(bare.where("specifier not like '#%'").select("folder", "specifier", F.lit(0).alias("turn"), F.col("folder").alias("from"), F.col("specifier").alias("target")))
+    asked = put.select("folder", "specifier", "turn", F.explode(places("from", "target")).alias("p")).select("folder", "specifier", "turn", "p.*")
     folders = fs.where("is_dir").select(F.col("path").alias("package"))
-    there = asked.join(folders, "package").join(manifests.select(F.regexp_replace("path", "/package\\.json$", "").alias("package"), "content"), "package", "left")
-    tried = there.select("folder", "specifier", "rank", "package", F.posexplode(targets("content", "inside")).alias("form", "below"))
+    there = asked.join(folders, "package").join(packages, "package", "left")
+    tried = there.select("folder", "specifier", "turn", "rank", "package", F.posexplode(targets("content", "inside")).alias("form", "below"))
     files = fs.where("not is_dir").select(F.col("path").alias("file"))
-    found = tried.withColumn("file", F.concat_ws("/", "package", "below")).join(files, "file").groupBy("folder", "specifier").agg(F.min_by("file", F.struct("rank", "form")).alias("resolved"))
+    found = tried.unionByName(below_scope).withColumn("file", F.concat_ws("/", "package", "below")).join(files, "file").groupBy("folder", "specifier").agg(F.min_by("file", F.struct("turn", "rank", "form")).alias("resolved"))
     return paths.unionByName(bare.join(found, ["folder", "specifier"], "left"))
