@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import os
 import re
 import shlex
 import sys
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ from graphweight.project import Tree, load, project_root
 from graphweight.session import Session
 from graphweight.sources.git_tree import classify, repo_root
 
+SHELLS = ("bash", "fish", "zsh")
 COMMANDS = "trace entry chain cut diff packages imports importers info set unset show help quit".split()
 
 
@@ -56,9 +59,36 @@ def parser() -> argparse.ArgumentParser:
     packages.add_argument("entry")
     packages.add_argument("--top", type=int, default=R.TOP)
     commands.add_parser("repl", parents=[shared]).add_argument("entry")
+    commands.add_parser("completions").add_argument("shell", choices=SHELLS)
     return out
 
 
+def completions(shell: str) -> str:
+    """A script for the shell that completes commands, their options, and files for all else; made from the parser."""
+    top = parser()
+    commands = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction)).choices
+    options = {name: sorted(o for a in p._actions for o in a.option_strings if o.startswith("--")) for name, p in commands.items()}
+    if shell == "fish":
+        first = f"complete -c graphweight -n __fish_use_subcommand -f -a '{' '.join(commands)}'"
+        rest = [f"complete -c graphweight -n '__fish_seen_subcommand_from {name}' -l {o[2:]}" for name, own in options.items() for o in own]
+        return "\n".join([first, *rest]) + "\n"
+    cases = "\n".join(f'    {name}) words="{" ".join(own)}" ;;' for name, own in options.items())
+    body = f"""_graphweight() {{
+  local words current="${{COMP_WORDS[COMP_CWORD]}}"
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+  [ "$COMP_CWORD" -eq 1 ] && words="{" ".join(commands)}"
+  case "$COMP_CWORD:$current" in
+    1:*|*:-*) COMPREPLY=($(compgen -W "$words" -- "$current")) ;;
+    *) COMPREPLY=($(compgen -f -- "$current")) ;;
+  esac
+}}
+complete -F _graphweight graphweight
+"""
+    return "autoload -U +X bashcompinit && bashcompinit\n" + body if shell == "zsh" else body
+
+
 def emit(report: R.Report, args: argparse.Namespace) -> None:
     if args.json and not args.format_version:
         print("warning: --json without --format-version gives version 2", file=sys.stderr)
@@ -186,6 +216,16 @@ def parse_command(line: str) -> Command:
     return Command(name, tuple(args), options)
 
 
+def history_file() -> Path | None:
+    """Where the shell's lines are kept: below XDG_DATA_HOME or ~/.local/share; None if that cannot be written."""
+    folder = Path(os.environ.get("XDG_DATA_HOME") or Path.home() / ".local" / "share") / "graphweight"
+    try:
+        folder.mkdir(parents=True, exist_ok=True)
+    except OSError:
+        return None
+    return folder / "history"
+
+
 class Shell:
     def __init__(self, session: Session):
         self.session, self.settings = session, Settings()
@@ -279,22 +319,58 @@ class Shell:
             return f"error: {error}" + (f"\nhint: {error.hint}" if error.hint else "")
         return out.json() if s.json else out.text().rstrip("\n")
 
+    def completed(self, line: str, begin: int, prefix: str) -> list[str]:
+        """Completions of the word that starts at a place of a line; the graph as it is now is asked."""
+        before = line[:begin].split()
+        return self.complete(prefix, before[0] if before else "")
+
+    def _prompt(self) -> Path | None:
+        """Completion by tab and the history of former shells, where there is a readline."""
+        try:
+            import readline
+        except ImportError:  # not on every platform
+            return None
+        options: list[str] = []
+
+        def completer(prefix: str, state: int) -> str | None:
+            if state == 0:
+                options[:] = self.completed(readline.get_line_buffer(), readline.get_begidx(), prefix)
+            return options[state] if state < len(options) else None
+
+        readline.set_completer(completer)
+        readline.set_completer_delims(" ")
+        readline.parse_and_bind("tab: complete")
+        path = history_file()
+        if path is not None and path.exists():
+            readline.read_history_file(path)
+        return path
+
     def loop(self) -> int:
+        history = self._prompt()
         self.session.watch()
-        while True:
-            try:
-                line = input("> ")
-            except (EOFError, KeyboardInterrupt):
-                return 0
-            self.session.refresh()
-            answer = self.run(line)
-            if answer is None:
-                return 0
-            print(answer)
+        try:
+            while True:
+                try:
+                    line = input("> ")
+                except (EOFError, KeyboardInterrupt):
+                    return 0
+                self.session.refresh()
+                answer = self.run(line)
+                if answer is None:
+                    return 0
+                print(answer)
+        finally:
+            if history is not None:
+                import readline
+
+                readline.write_history_file(history)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "completions":
+        print(completions(args.shell), end="")
+        return 0
     spark = spark or SparkSession.builder.appName("graphweight").getOrCreate()
     try:
         if args.command == "trace":

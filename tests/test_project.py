@@ -156,6 +156,30 @@ def test_shell(session):
     assert cli.parse_command("trace --top x --ignore a b --json").options == {"ignore": ("a", "b"), "json": True}
 
 
+def test_shell_prompt(session, tmp_path, monkeypatch, capsys):
+    import builtins
+
+    monkeypatch.setenv("XDG_DATA_HOME", str(tmp_path))
+    lines = iter(["imports index.ts", "quit"])
+    monkeypatch.setattr(builtins, "input", lambda prompt: next(lines))
+    shell = cli.Shell(session)
+    assert shell.loop() == 0 and "a.ts" in capsys.readouterr().out
+    assert cli.history_file() == tmp_path / "graphweight" / "history" and cli.history_file().exists()
+    assert shell.completed("chain lo", 6, "lo") == ["lodash"] and shell.completed("im", 0, "im") == ["importers", "imports"]
+    monkeypatch.setenv("XDG_DATA_HOME", "/proc/none")
+    assert cli.history_file() is None
+
+
+def test_completions(tmp_path):
+    import subprocess
+
+    script = tmp_path / "c.sh"
+    script.write_text(cli.completions("bash"))
+    ask = lambda *words: subprocess.run(["bash", "-c", 'source "$0"; COMP_WORDS=(graphweight "$@"); COMP_CWORD=$#; _graphweight; echo "${COMPREPLY[@]}"', str(script), *words], capture_output=True, text=True, check=True).stdout.split()
+    assert ask("d") == ["diff"] and ask("trace", "--to") == ["--top", "--top-modules"] and ask("repl", "--max") == []
+    assert "-l max-weight" in cli.completions("fish") and cli.completions("zsh").startswith("autoload")
+
+
 def test_snapshots_and_git(spark, session, project, tmp_path, capsys):
     path = str(tmp_path / "s.json")
     D.save_snapshot(session.snapshot(), path)
