@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweight.operators import chains as C
 from graphweight.operators import diff as D
+from graphweight.operators import dominators
 from graphweight.operators.dominators import exclusive_weights
 from graphweight.operators.graph import ImportGraph
 from graphweight.operators.trace import Trace, TraceOptions
@@ -79,6 +81,32 @@ def test_exclusive_on_random_graphs(spark):
     assert sorted(map(tuple, exclusive_weights(g, "0", kernel_edges=0).collect())) == want
 
 
+def test_exclusive_on_tables_reads_edges_once_and_keeps_rows_few(spark, monkeypatch):
+    """Diamonds in a row with dead ends between (each joint is dominated by all before it), and a way around the last ones."""
+    links, n = [], 5
+    for k in range(n):
+        links += [(f"j{k}", "S", f"a{k}"), (f"a{k}", "S", f"c{k}"), (f"a{k}", "S", f"b{k}"), (f"c{k}", "S", f"j{k + 1}"), (f"b{k}", "S", f"j{k + 1}"), (f"j{k + 1}", "S", f"a{k}")]
+    links += [(f"c{n - 4}", "S", f"j{n}"), ("x", "S", "y"), ("y", "S", "x"), ("y", "S", "j3"), ("z", "S", "j4")]
+    g = graph_of(spark, {x: 1 + i % 7 for i, x in enumerate(sorted({y for a, _, b in links for y in (a, b)}))}, links)
+    read, rows, put = spark.sparkContext.accumulator(0), [], dominators.written
+
+    def once(path: str) -> str:
+        read.add(1)
+        return path
+
+    def counted(frame):
+        out = put(frame)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(dominators, "written", counted)
+    edges = g.edges.withColumn("src", F.udf(once, "string").asNondeterministic()("src"))
+    found = exclusive_weights(ImportGraph(g.nodes, edges), "j0", kernel_edges=0).collect()
+    assert read.value == len(links)
+    assert max(rows) <= len(links)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, exclusive_weights(g, "j0").collect()))
+
+
 def test_chains_and_cuts(spark):
     g = graph_of(spark, {"a": 1, "b": 2, "c": 3, "d": 4, "z": (5, "zod")}, edges("a>b a>c b>d c>d d>z"))
     target = C.Target(package="zod")
